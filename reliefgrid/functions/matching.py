@@ -13,9 +13,9 @@ PAIRS = "array<struct<gold:string,pred:string>>"
 def match_exact(gold: Column | str, pred: Column | str) -> Column:
     g, p = as_col(gold), as_col(pred)
     return F.struct(
-        F.array_sort(F.array_intersect(g, p)).alias("tp"),
-        F.array_sort(F.array_except(p, g)).alias("fp"),
-        F.array_sort(F.array_except(g, p)).alias("fn"),
+        F.sort_array(F.array_intersect(g, p)).alias("tp"),
+        F.sort_array(F.array_except(p, g)).alias("fp"),
+        F.sort_array(F.array_except(g, p)).alias("fn"),
     )
 
 
@@ -71,31 +71,32 @@ def choose_spans(spans: Column | str, max_len: int) -> Column:
     handled from long to short, each by set difference against the covered starts, so the
     work grows with the number of spans and not with its square.
     """
-    given = as_col(spans)
 
-    def add_length(kept: Column, n: Column) -> Column:
-        covered = F.flatten(
-            F.transform(kept, lambda s: F.sequence(s["start"] - n + 1, s["start"] + s["len"] - 1))
-        )
-        same = F.transform(F.filter(given, lambda s: s["len"] == n), lambda s: s["start"])
-        free = F.array_sort(F.array_except(same, covered))
-        picked = F.aggregate(
-            free,
-            F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("at")),
-            lambda acc, s: F.when(
-                s >= acc["next"],
-                F.struct((s + n).alias("next"), F.concat(acc["at"], F.array(s)).alias("at")),
-            ).otherwise(acc),
-            lambda acc: acc["at"],
-        )
-        return F.concat(
-            kept,
-            bind(
-                picked,
-                lambda at: F.filter(given, lambda s: (s["len"] == n) & F.array_contains(at, s["start"])),
-            ),
-        )
+    def choose(given: Column) -> Column:
+        def add_length(kept: Column, n: Column) -> Column:
+            covered = F.flatten(
+                F.transform(kept, lambda s: F.sequence(s["start"] - n + 1, s["start"] + s["len"] - 1))
+            )
+            same = F.transform(F.filter(given, lambda s: s["len"] == n), lambda s: s["start"])
+            picked = F.aggregate(
+                F.sort_array(F.array_except(same, covered)),
+                F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("at")),
+                lambda acc, s: F.when(
+                    s >= acc["next"],
+                    F.struct((s + n).alias("next"), F.concat(acc["at"], F.array(s)).alias("at")),
+                ).otherwise(acc),
+                lambda acc: acc["at"],
+            )
+            return F.concat(
+                kept,
+                bind(
+                    picked,
+                    lambda at: F.filter(given, lambda s: (s["len"] == n) & F.array_contains(at, s["start"])),
+                ),
+            )
+
+        lengths = F.sequence(F.lit(max_len), F.lit(1), F.lit(-1))
+        chosen = F.aggregate(lengths, F.filter(given, lambda s: F.lit(False)), add_length)
+        return F.when(F.size(given) <= 1, given).otherwise(F.sort_array(chosen))
 
-    lengths = F.sequence(F.lit(max_len), F.lit(1), F.lit(-1))
-    chosen = F.aggregate(lengths, F.filter(given, lambda s: F.lit(False)), add_length)
-    return F.when(F.size(given) <= 1, given).otherwise(F.array_sort(chosen))
+    return bind(as_col(spans), choose)

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reliefgrid.functions.columns import as_col
+from reliefgrid.functions.columns import as_col, bind
 
 # Letters, digits and underscore over all scripts; combining marks are left out on purpose.
 WORD = r"\p{L}\p{N}_"
@@ -17,12 +17,27 @@ def clean_text(text: Column | str) -> Column:
     """Hashtags become split words plus a comma; mentions, URLs and other signs become spaces."""
     marked = F.regexp_replace(
         as_col(text),
-        rf"(?U)(#[A-Za-z0-9_]+)|@[A-Za-z0-9_]+|[{WORD}]+://\S+|[^{WORD}\s,]",
+        rf"(?U)(#[A-Za-z0-9_]+)|@[A-Za-z0-9_]+|(?:(?<![{WORD}])|\G)[{WORD}]++://\S+|[^{WORD}\s,]",
         "$1 ",
     )
-    tagged = F.regexp_replace(marked, r"#([A-Za-z0-9_]+) ", r"#$1,")
-    spaced = F.regexp_replace(tagged, r"(?<=#[A-Za-z0-9_]{0,300}[a-z])(?=[A-Z])", " ")
-    return F.trim(F.regexp_replace(F.replace(spaced, F.lit("#"), F.lit("")), r"(?U)\s+", " "))
+    def open_tag(part: Column) -> Column:
+        return bind(
+            F.regexp_extract(part, "^[A-Za-z0-9_]+", 0),
+            lambda tag: F.concat(split_camel(tag), F.lit(","), F.substring(part, F.length(tag) + 2, F.length(part))),
+        )
+
+    def open_tags(body: Column) -> Column:
+        # From here on every hash sign starts a hashtag, and a space ends it.
+        opened = bind(
+            F.split(body, "#"),
+            lambda parts: F.concat(
+                F.get(parts, F.lit(0)),
+                F.array_join(F.transform(F.filter(parts, lambda p, i: i > 0), open_tag), ""),
+            ),
+        )
+        return F.when(F.contains(body, F.lit("#")), opened).otherwise(body)
+
+    return F.trim(F.regexp_replace(bind(marked, open_tags), r"(?U)\s+", " "))
 
 
 def split_camel(text: Column | str) -> Column:
@@ -31,11 +46,15 @@ def split_camel(text: Column | str) -> Column:
 
 def title_case(text: Column | str) -> Column:
     """Upper-case every letter that follows a non-letter, lower-case the rest."""
-    pieces = F.split(F.lower(as_col(text)), r"(?<=[^\p{L}])")
-    return F.array_join(
-        F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 2147483647))),
-        "",
-    )
+    pieces = F.split(F.lower(as_col(text)), r"(?<=[^\p{IsLowercase}\p{IsUppercase}\p{Lt}])")
+
+    def lift(piece: Column) -> Column:
+        first = F.upper(F.substring(piece, 1, 1))
+        # Upper-casing may give two letters, of which only the first stays large.
+        head = F.concat(F.substring(first, 1, 1), F.lower(F.substring(first, 2, 3)))
+        return F.concat(head, F.substring(piece, F.lit(2), F.length(piece)))
+
+    return F.array_join(F.transform(pieces, lift), "")
 
 
 def strip_possessive(mention: Column | str) -> Column:

@@ -47,7 +47,7 @@ def count_partials(posts: DataFrame) -> DataFrame:
     return by_city.groupBy(*KEYS).agg(
         F.sum("n").alias("count"),
         F.sum("u").alias("polarity_units"),
-        F.array_sort(F.collect_list("city")).alias("cities"),
+        F.sort_array(F.collect_list("city")).alias("cities"),
     )
 
 
@@ -72,7 +72,7 @@ def merged_cities(rows: DataFrame) -> DataFrame:
         .where(F.col("city") != "")
         .distinct()
         .groupBy(*KEYS)
-        .agg(F.array_sort(F.collect_list("city")).alias("cities"))
+        .agg(F.sort_array(F.collect_list("city")).alias("cities"))
     )
 
 

@@ -27,7 +27,7 @@ def gold_lists(labels: DataFrame, key: str = "id", order: str = "ord") -> DataFr
         .agg(first_text.alias("text"), F.min(order).alias(order))
     )
     return by_label.groupBy(key).agg(
-        first_text.alias("text"), F.array_sort(F.collect_list("label")).alias("locations")
+        first_text.alias("text"), F.sort_array(F.collect_list("label")).alias("locations")
     )
 
 

@@ -31,16 +31,16 @@ def lookup_join(
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
-    hot = hot_keys(left, key, share)
-    marked = hot.withColumnRenamed(key, "_hot")
-    carried = [c for c in right.columns if c != key]
+    hot = hot_keys(left, key, share).select(F.col(key).alias("_hot"))
+    named = right.withColumnRenamed(key, "_key")
+    columns = left.columns + [c for c in right.columns if c != key]
+    is_hot = F.col(key).eqNullSafe(F.col("_hot"))
 
-    hot_right = marked.join(right, F.col("_hot") == right[key], how).drop(right[key])
-    names = left.columns + carried
-    near = left.join(F.broadcast(hot_right), left[key].eqNullSafe(F.col("_hot")), "inner").select(names)
+    hot_right = hot.join(named, F.col("_hot") == F.col("_key"), how).drop("_key")
+    near = left.join(F.broadcast(hot_right), is_hot, "inner").select(columns)
     far = (
-        left.join(F.broadcast(marked), left[key].eqNullSafe(F.col("_hot")), "left_anti")
-        .join(right, key, how)
-        .select(names)
+        left.join(F.broadcast(hot), is_hot, "left_anti")
+        .join(named, F.col(key) == F.col("_key"), how)
+        .select(columns)
     )
     return near.unionByName(far)

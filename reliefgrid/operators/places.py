@@ -235,7 +235,7 @@ def region_state(region: Column | str, states: Column, longest_match: bool = Fal
         ranked = F.transform(
             hits, lambda s: F.struct((-F.length(s["name"])).alias("r"), s["ord"].alias("o"), s.alias("s"))
         )
-        return F.get(F.array_sort(ranked), F.lit(0))["s"]
+        return F.get(F.sort_array(ranked), F.lit(0))["s"]
     return F.get(hits, F.lit(0))
 
 
@@ -332,7 +332,7 @@ def standardize_places(
     rows = resolve_all(posts, gazetteer, states, key, mode).where(F.col("resolved.state") != "")
     places = collect_places(rows, key)
     top = F.get("all_locations", F.lit(0))
-    rest = F.slice("all_locations", 2, 2147483647)
+    rest = F.filter("all_locations", lambda p, i: i > 0)
     return (
         posts.select(key)
         .join(places, key, "left")

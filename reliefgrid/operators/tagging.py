@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reliefgrid.functions.columns import as_col
+from reliefgrid.functions.columns import as_col, bind
 from reliefgrid.functions.matching import choose_spans
 from reliefgrid.functions.scalars import POLARITY_SCALE, polarity_units
 from reliefgrid.functions.text import clean_text, strip_possessive, title_case, tokens, topic_words
@@ -44,45 +45,42 @@ def phrases_from(taxonomy: DataFrame) -> dict[str, str]:
     return phrase_table(grouped)
 
 
-def tag_disasters(posts: DataFrame, phrases: Mapping[str, str], cleaned: str = "cleaned") -> DataFrame:
-    """Add ``disasters``: canonical names in text order, each once.
+def disaster_names(cleaned: Column | str, phrases: Mapping[str, str]) -> Column:
+    """Canonical names of the phrases in a cleaned text, in text order, each once.
 
-    Works inside the row without any shuffle. Only positions whose word starts some phrase
-    are looked at further.
+    One expression inside the row, without any shuffle. Only positions whose word starts
+    some phrase are looked at further; intermediate lists are bound once.
     """
     by_len: dict[int, list[str]] = {}
     for phrase in phrases:
         by_len.setdefault(phrase.count(" ") + 1, []).append(phrase)
-    longest = max(by_len)
     first_words = sorted({p.split(" ")[0] for p in phrases})
-    canonical = F.create_map(*[F.lit(x) for pair in phrases.items() for x in pair])
+    canonical = F.from_json(F.lit(json.dumps(dict(phrases))), "map<string,string>")
 
-    def gram(start: Column, n: Column | int) -> Column:
-        return F.array_join(F.slice("_words", start, n), " ")
+    def gram(words: Column, start: Column, n: Column | int) -> Column:
+        return F.array_join(F.slice(words, start, n), " ")
 
-    def spans_of(n: int) -> Column:
-        fits = F.filter(
-            "_starts", lambda i: (i + n - 1 <= F.size("_words")) & gram(i, n).isin(by_len[n])
-        )
-        return F.transform(fits, lambda i: F.struct(i.alias("start"), F.lit(n).alias("len")))
-
-    spans = F.concat(*[spans_of(n) for n in sorted(by_len)])
-    names = F.transform("_kept", lambda s: F.element_at(canonical, gram(s["start"], s["len"])))
-    hit = F.transform(
-        F.filter(
-            F.transform("_words", lambda w, i: F.when(w.isin(first_words), i + 1)),
-            lambda i: i.isNotNull(),
-        ),
-        lambda i: i.cast("int"),
-    )
-    return (
-        posts.withColumn("_words", F.transform(tokens(cleaned), F.lower))
-        .withColumn("_starts", hit)
-        .withColumn("_spans", spans)
-        .withColumn("_kept", choose_spans("_spans", longest))
-        .withColumn("disasters", F.array_distinct(names))
-        .drop("_words", "_starts", "_spans", "_kept")
-    )
+    def starts(words: Column) -> Column:
+        marked = F.transform(words, lambda w, i: F.when(w.isin(first_words), (i + 1).cast("int")))
+        return F.array_compact(marked)
+
+    def spans(words: Column, at: Column) -> Column:
+        def of_length(n: int) -> Column:
+            fits = F.filter(at, lambda i: (i + n - 1 <= F.size(words)) & gram(words, i, n).isin(by_len[n]))
+            return F.transform(fits, lambda i: F.struct(i.alias("start"), F.lit(n).alias("len")))
+
+        return F.concat(*[of_length(n) for n in sorted(by_len)])
+
+    def names(words: Column) -> Column:
+        kept = bind(starts(words), lambda at: choose_spans(spans(words, at), max(by_len)))
+        return F.transform(kept, lambda s: F.element_at(canonical, gram(words, s["start"], s["len"])))
+
+    return F.array_distinct(bind(F.transform(tokens(cleaned), F.lower), names))
+
+
+def tag_disasters(posts: DataFrame, phrases: Mapping[str, str], cleaned: str = "cleaned") -> DataFrame:
+    """Add ``disasters`` to posts with a cleaned text."""
+    return posts.withColumn("disasters", disaster_names(cleaned, phrases))
 
 
 def place_names(gazetteer: DataFrame) -> DataFrame:
@@ -102,23 +100,23 @@ def place_names(gazetteer: DataFrame) -> DataFrame:
 def word_grams(posts: DataFrame, key: str, max_words: int, cleaned: str, capitalised: bool) -> DataFrame:
     """Rows ``(key, start, len, mention, gram)`` of all runs up to ``max_words`` words."""
     words = posts.select(key, tokens(cleaned).alias("_words"))
-    runs = F.flatten(
-        F.transform(
-            "_words",
-            lambda w, i: F.filter(
-                F.transform(
-                    F.sequence(F.lit(1), F.lit(max_words)),
-                    lambda n: F.struct(
-                        (i + 1).cast("int").alias("start"),
-                        n.alias("len"),
-                        F.array_join(F.slice("_words", i + 1, n), " ").alias("mention"),
-                    ),
-                ),
-                lambda r: (r["start"] + r["len"] - 1 <= F.size("_words")) & ~F.contains(r["mention"], F.lit(",")),
-            ),
+    # The outer form keeps Spark from testing the size of the words before cutting them.
+    sizes = F.sequence(F.lit(1), F.lit(max_words))
+    rows = (
+        words.select(key, "_words", F.posexplode_outer("_words").alias("_at", "_word"))
+        .where(F.col("_word") != ",")
+        .select(key, "_words", "_at", "_word", F.explode(sizes).alias("len"))
+        .where(F.col("_at") + F.col("len") <= F.size("_words"))
+        .select(
+            key,
+            (F.col("_at") + 1).alias("start"),
+            "len",
+            F.when(F.col("len") == 1, F.col("_word"))
+            .otherwise(F.array_join(F.slice("_words", F.col("_at") + 1, F.col("len")), " "))
+            .alias("mention"),
         )
+        .where(~F.contains("mention", F.lit(",")))
     )
-    rows = words.select(key, F.explode(runs).alias("r")).select(key, "r.*")
     if capitalised:
         rows = rows.where(F.col("mention").rlike(r"^\p{Lu}"))
     # Two-letter codes count as places only in capitals.

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefgrid.functions.text import title_case
+from reliefgrid.session import spread
 
 # Parameters: phrases that occur in the prose.
 DOC_TAXONOMY = {
@@ -82,7 +83,7 @@ def single_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         F.col("doc_id").alias("post_id"),
         F.col("source").alias("author"),
         F.col("lang").alias("created_at"),
