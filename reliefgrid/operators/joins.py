@@ -9,6 +9,19 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 1000
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's own size estimate lets it broadcast the frame.
+
+    Estimates of tables come from their files; anything unknown counts as too large.
+    """
+    conf = df.sparkSession.conf
+    limit = int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        conf.get("spark.sql.autoBroadcastJoinThreshold").replace("-1b", "0").replace("-1", "0")
+    ))
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return 0 < int(str(size)) <= limit
+
+
 def hot_keys(left: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     """Keys holding at least ``share`` of the rows, and the missing key: a bounded set."""
     sizes = left.groupBy(key).agg(F.count("*").alias("_n"))
@@ -25,12 +38,15 @@ def lookup_join(
 ) -> DataFrame:
     """Join to a table with one row per key (``left`` or ``inner``).
 
-    Rows of hot keys meet the few matching right rows by broadcast, bounded by the share;
+    A right side that Spark can broadcast by its size leaves the left side unshuffled. Beyond
+    that size, rows of hot keys meet the few matching right rows by broadcast, bounded by the share;
     all others go through an ordinary join whose strategy Spark picks from measured sizes.
     A key that fills a third of the left side therefore never lands in one task.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
+    if fits_broadcast(right):
+        return left.join(right, key, how).select(left.columns + [c for c in right.columns if c != key])
     hot = hot_keys(left, key, share).select(F.col(key).alias("_hot"))
     named = right.withColumnRenamed(key, "_key")
     columns = left.columns + [c for c in right.columns if c != key]

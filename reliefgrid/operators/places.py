@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reliefgrid.functions.columns import as_col, bind
 from reliefgrid.functions.text import title_case
 from reliefgrid.operators.joins import lookup_join
+from reliefgrid.session import cut
 from reliefgrid.sources.states import state_array
 
 PLACE_FIELDS = [
@@ -74,18 +75,19 @@ def _grams(text: Column, size: int) -> Column:
     )
 
 
-def contains_lookup(mentions: DataFrame, texts: DataFrame) -> DataFrame:
+def contains_lookup(mentions: DataFrame, texts: DataFrame, shortest: int = 1) -> DataFrame:
     """Best place whose ``hay`` holds the mention (and whose ``also``, if given), by blocks of grams.
 
     ``mentions``: distinct ``(mention, needle)``, the needle in lower case. ``texts``:
     ``(hay, also, place)``. A hay that holds the needle holds every gram of it, so each
     needle meets only the postings of its rarest gram; the match is then verified. Posting
     lists of the few grams with a large share (a bounded set) are split over salts.
-    Needles shorter than a gram are grams themselves and meet the best place per gram.
+    Needles shorter than a gram are grams themselves and meet the best place per gram;
+    ``shortest`` tells that there are none.
     """
-    distinct_texts = best_place(texts, "hay", "also")
+    distinct_texts = cut(best_place(texts, "hay", "also"))
     postings = distinct_texts.select(F.explode(_grams(F.col("hay"), GRAM)).alias("gram"), "hay", "also", "place")
-    sizes = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    sizes = cut(postings.groupBy("gram").agg(F.count("*").alias("n")))
     total = sizes.agg(F.sum("n")).scalar()
     hot = sizes.where(F.col("n") >= total * F.lit(HOT_GRAM_SHARE)).select("gram", F.lit(True).alias("hot"))
 
@@ -119,6 +121,8 @@ def contains_lookup(mentions: DataFrame, texts: DataFrame) -> DataFrame:
         F.contains("hay", "needle") & (F.col("also").isNull() | F.contains("also", "needle"))
     )
     found = best_place(verified.select("mention", "place"), "mention")
+    if shortest >= GRAM:
+        return found
 
     short_ones = mentions.where((F.length("needle") < GRAM) & (F.length("needle") > 0))
     short_grams = F.filter(
@@ -139,7 +143,8 @@ def alternate_texts(gazetteer: DataFrame, with_name: bool = False) -> DataFrame:
 def lookup_fuzzy(mentions: DataFrame, gazetteer: DataFrame, longer_than: int = 3) -> DataFrame:
     """Best populated place with the mention anywhere in its alternates; misses are absent."""
     needles = mentions.select("mention", F.lower(F.trim("mention")).alias("needle"))
-    return contains_lookup(needles.where(F.length("needle") > longer_than), alternate_texts(gazetteer))
+    wanted = needles.where(F.length("needle") > longer_than)
+    return contains_lookup(wanted, alternate_texts(gazetteer), shortest=longer_than + 1)
 
 
 def cascade_keys(gazetteer: DataFrame) -> DataFrame:
@@ -196,7 +201,7 @@ def unresolved(mentions: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def lookup_cascade(mentions: DataFrame, gazetteer: DataFrame, states: Column) -> DataFrame:
     """``(mention, stage, place)`` for distinct mentions over all four stages; misses have null."""
-    equal = cascade_equal_stages(mentions, gazetteer, states)
+    equal = cut(cascade_equal_stages(mentions, gazetteer, states))
     open_ones = equal.where(F.col("place").isNull() & ~is_state(F.col("mention"), states)).select("mention")
     fuzzy = lookup_fuzzy(open_ones, gazetteer).select("mention", F.col("place").alias("fuzzy"))
     return equal.join(fuzzy, "mention", "left").select(
@@ -214,7 +219,7 @@ def lookup_two_stage(mentions: DataFrame, gazetteer: DataFrame) -> DataFrame:
     exact = best_place(
         gazetteer.where(is_kind("PPL", "ADM")).select(F.col("name").alias("mention"), place_struct()), "mention"
     )
-    first = mentions.select("mention").join(exact, "mention", "left")
+    first = cut(mentions.select("mention").join(exact, "mention", "left"))
     open_ones = first.where(F.col("place").isNull()).select("mention", F.lower("mention").alias("needle"))
     second = contains_lookup(open_ones, alternate_texts(gazetteer, with_name=True))
     return first.join(second.withColumnRenamed("place", "fuzzy"), "mention", "left").select(
@@ -307,7 +312,7 @@ def resolve_all(
     """
     rows = posts.select(key, F.posexplode("locations").alias("pos", "mention"))
     distinct = rows.where(F.col("mention") != "").select("mention").distinct()
-    resolved = resolve_mentions(distinct, gazetteer, states, mode)
+    resolved = cut(resolve_mentions(distinct, gazetteer, states, mode))
     return lookup_join(rows, resolved, "mention")
 
 
@@ -350,7 +355,7 @@ def enrich_first_place(
     """Resolve the first mention only and add its columns."""
     firsts = posts.withColumn("mention", F.get("locations", F.lit(0)))
     distinct = firsts.where(F.col("mention") != "").select("mention").distinct()
-    resolved = resolve_mentions(distinct, gazetteer, states, mode)
+    resolved = cut(resolve_mentions(distinct, gazetteer, states, mode))
     joined = lookup_join(firsts, resolved, "mention")
     return joined.select(*posts.columns, *[F.col(f"resolved.{c}").alias(c) for c in RESOLVED_FIELDS])
 

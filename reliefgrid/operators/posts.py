@@ -95,7 +95,7 @@ def dedup_text(posts: DataFrame, order: list[str]) -> DataFrame:
 def number_rows(df: DataFrame, name: str, order: list[str] | None = None) -> DataFrame:
     """Consecutive numbers from one, over all rows, without a window over the whole table.
 
-    The partition number and the place inside the partition are fixed by a checkpoint;
+    The partition number and the place inside the partition are fixed by writing them out;
     the offsets come from one count per partition. ``order`` sorts first (end it with a
     unique column, so that no partition holds more than its share).
     """

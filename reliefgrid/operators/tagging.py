@@ -14,6 +14,7 @@ from reliefgrid.functions.matching import choose_spans
 from reliefgrid.functions.scalars import POLARITY_SCALE, polarity_units
 from reliefgrid.functions.text import clean_text, strip_possessive, title_case, tokens, topic_words
 from reliefgrid.operators.joins import lookup_join
+from reliefgrid.session import cut
 
 # Phrase lists up to this size travel inside the expression; larger ones are joined.
 MAX_INLINE_PHRASES = 5_000
@@ -139,8 +140,8 @@ def tag_places(
     ``distinct=False`` keeps repeated mentions.
     """
     grams = word_grams(posts, key, max_words, cleaned, capitalised)
-    known = names.where(F.col("words") <= max_words).select("gram").distinct()
-    hits = lookup_join(grams, known.withColumn("_known", F.lit(True)), "gram", "inner")
+    known = cut(names.where(F.col("words") <= max_words).select("gram").distinct())
+    hits = lookup_join(grams, known, "gram", "inner")
     spans = hits.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("start", "len", "mention"))).alias("_spans")
     )

@@ -841,12 +841,6 @@ def parse_created_at(spark, sf):
 
 # --- streams -----------------------------------------------------------------------------
 
-ORDER_SCHEMA = (
-    "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
-    "o_orderdate timestamp_ntz, o_orderpriority string"
-)
-
-
 def _order_reports(batch: DataFrame) -> DataFrame:
     """Order rows of a micro-batch as reports, without a join."""
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
@@ -864,7 +858,7 @@ def _order_feed(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "orders")
     orders = b.table(spark, sf, "orders")
     orders.withColumn("year", F.year("o_orderdate")).repartitionByRange("year").write.parquet(path)
-    return crisis.read_table_feed(spark, path, ORDER_SCHEMA, "*.parquet", files_per_batch=2)
+    return crisis.read_table_feed(spark, path, b.TABLES["orders"], "*.parquet", files_per_batch=2)
 
 
 @query
@@ -884,7 +878,7 @@ def stream_merge(spark, sf):
     handle = crisis.partials_sink(root, _order_reports)
     for part in (F.col("o_orderstatus") == "F", F.col("o_orderstatus") != "F"):
         orders.where(part).write.mode("append").parquet(path)
-        feed = crisis.read_table_feed(spark, path, ORDER_SCHEMA, "*.parquet", files_per_batch=1)
+        feed = crisis.read_table_feed(spark, path, b.TABLES["orders"], "*.parquet", files_per_batch=1)
         crisis.run_available(feed, handle, check)
         crisis.compact(spark, root)
     return show_counts(crisis.running_counts(spark, root))
@@ -894,8 +888,7 @@ def stream_merge(spark, sf):
 def stream_dedup(spark, sf):
     """Copies of a document go inside the batch; the feed comes as one batch."""
     out = scratch_path(spark, "unique")
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    feed = crisis.read_table_feed(spark, sf, schema, "documents.parquet")
+    feed = crisis.read_table_feed(spark, sf, b.TABLES["documents"], "documents.parquet")
     handle = crisis.dedup_batches(["doc_id"], crisis.rows_sink(out))
     crisis.run_available(feed, handle, scratch_path(spark, "check"))
     return crisis.read_rows(spark, out).drop("batch")

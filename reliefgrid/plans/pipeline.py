@@ -13,7 +13,7 @@ from reliefgrid.functions.text import clean_text
 from reliefgrid.operators import counts, posts as post_ops
 from reliefgrid.operators.places import RESOLVED_FIELDS, collect_places, resolve_all
 from reliefgrid.operators.tagging import lexicon_scores, place_names, tag_disasters, tag_places
-from reliefgrid.session import cut
+from reliefgrid.session import cut, spread
 
 
 @dataclass
@@ -64,11 +64,11 @@ def filtered_posts(
 
     Cheap steps come first: copies and empty texts go, then disasters are tagged inside the
     row. Only the posts that name a disaster (few in a feed) are kept for place tagging,
-    resolution and sentiment; they are checkpointed, as several branches read them.
+    resolution and sentiment; they are written out once, as several branches read them.
     """
     unique = post_ops.filter_nonempty(post_ops.dedup_text(posts, order or [key]))
     tagged = tag_disasters(unique.withColumn("cleaned", clean_text("text")), dicts.phrases)
-    named = cut(tagged.where(F.size("disasters") > 0))
+    named = spread(cut(tagged.where(F.size("disasters") > 0)), key)
 
     places = cut(tag_places(named, dicts.names, key, dicts.max_words))
     scores = lexicon_scores(named.join(places, key, "left_semi"), dicts.lexicon, key)
