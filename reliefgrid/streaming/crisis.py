@@ -77,7 +77,7 @@ def partials_sink(root: str, prepare: Callable[[DataFrame], DataFrame] | None =
 
     def handle(batch: DataFrame, number: int) -> None:
         rows = prepare(batch) if prepare else batch
-        counts.count_partials(rows).coalesce(1).write.mode("overwrite").parquet(f"{root}/batch={number}")
+        counts.count_partials(rows).write.mode("overwrite").parquet(f"{root}/batch={number}")
 
     return handle
 
@@ -110,7 +110,9 @@ def running_counts(spark: SparkSession, root: str) -> DataFrame:
 def running_counts_halving(spark: SparkSession, root: str) -> DataFrame:
     """Running counts whose average halves the weight of the past at every batch."""
     rows = read_rows(spark, root)
-    per_batch = counts.finish_counts(rows).withColumn("batch", rows["batch"])
+    per_batch = rows.select(
+        *counts.KEYS, "batch", counts.mean_polarity("polarity_units", "count").alias("avg_sentiment")
+    )
     means = counts.running_mean(per_batch, counts.KEYS)
     totals = counts.merge_partials(rows.drop("batch")).drop("polarity_units")
     return counts.severity(totals.join(means, counts.KEYS).select(counts.COUNT_COLUMNS))
