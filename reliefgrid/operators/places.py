@@ -62,8 +62,10 @@ def lookup_exact(mentions: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 
 def is_state(mention: Column, states: Column) -> Column:
-    low = F.lower(F.trim(mention))
-    return F.exists(states, lambda s: (F.lower(s["code"]) == low) | (F.lower(s["name"]) == low))
+    return bind(
+        F.lower(F.trim(mention)),
+        lambda low: F.exists(states, lambda s: (s["low_code"] == low) | (s["low_name"] == low)),
+    )
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -234,8 +236,9 @@ def region_state(region: Column | str, states: Column, longest_match: bool = Fal
 
     ``longest_match`` takes the longest such name instead.
     """
-    low = F.lower(as_col(region))
-    hits = F.filter(states, lambda s: F.contains(low, F.lower(s["name"])))
+    hits = bind(
+        F.lower(as_col(region)), lambda low: F.filter(states, lambda s: F.contains(low, s["low_name"]))
+    )
     if longest_match:
         ranked = F.transform(
             hits, lambda s: F.struct((-F.length(s["name"])).alias("r"), s["ord"].alias("o"), s.alias("s"))

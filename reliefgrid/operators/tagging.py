@@ -165,7 +165,7 @@ def lexicon_scores(posts: DataFrame, lexicon: DataFrame, key: str, cleaned: str
         polarity_units("polarity").alias("_p"),
         polarity_units("subjectivity").alias("_s"),
     )
-    scored = words.join(units, "word", "left")
+    scored = lookup_join(words, units, "word")
 
     def mean(name: str) -> Column:
         total = F.sum(name) / (F.count(name) * F.lit(POLARITY_SCALE))
@@ -182,7 +182,7 @@ def preprocess_topics(
     if lemmas is None:
         return words.select(key, F.array_join("_words", " ").alias("preprocessed_text"))
     rows = words.select(key, F.posexplode_outer("_words").alias("pos", "word"))
-    base = rows.join(lemmas, "word", "left").withColumn("w", F.coalesce("lemma", "word"))
+    base = lookup_join(rows, lemmas, "word").withColumn("w", F.coalesce("lemma", "word"))
     ordered = F.sort_array(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("pos", "w"))))
     return base.groupBy(key).agg(
         F.array_join(F.transform(ordered, lambda s: s["w"]), " ").alias("preprocessed_text")

@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reliefgrid.functions.columns import bind
 from reliefgrid.functions.scalars import sentiment_class
 from reliefgrid.functions.text import clean_text
 from reliefgrid.operators import counts, posts as post_ops
 from reliefgrid.operators.places import RESOLVED_FIELDS, collect_places, resolve_all
-from reliefgrid.operators.tagging import lexicon_scores, place_names, tag_disasters, tag_places
+from reliefgrid.operators.tagging import disaster_names, lexicon_scores, place_names, tag_disasters, tag_places
 from reliefgrid.session import cut, spread
 
 
@@ -57,6 +58,22 @@ def filter_crisis(posts: DataFrame) -> DataFrame:
     return posts.where((F.size("disasters") > 0) & (F.size("locations") > 0))
 
 
+def naming_disaster(posts: DataFrame, phrases: Mapping[str, str]) -> DataFrame:
+    """Posts that name a disaster, with ``cleaned`` and ``disasters``.
+
+    Both are made in one generated value that is missing for other posts; a plain filter
+    would make Spark clean and tag each text once more below it.
+    """
+    made = bind(
+        clean_text("text"),
+        lambda c: F.struct(c.alias("cleaned"), disaster_names(c, phrases).alias("disasters")),
+    )
+    hit = bind(made, lambda m: F.when(F.size(m["disasters"]) > 0, F.array(m)))
+    return posts.select("*", F.explode_outer(hit).alias("_hit")).where(F.col("_hit").isNotNull()).select(
+        *posts.columns, "_hit.*"
+    )
+
+
 def filtered_posts(
     posts: DataFrame, dicts: Dictionaries, key: str = "post_id", order: list[str] | None = None
 ) -> DataFrame:
@@ -67,8 +84,7 @@ def filtered_posts(
     resolution and sentiment; they are written out once, as several branches read them.
     """
     unique = post_ops.filter_nonempty(post_ops.dedup_text(posts, order or [key]))
-    tagged = tag_disasters(unique.withColumn("cleaned", clean_text("text")), dicts.phrases)
-    named = spread(cut(tagged.where(F.size("disasters") > 0)), key)
+    named = spread(cut(naming_disaster(unique, dicts.phrases)), key)
 
     places = cut(tag_places(named, dicts.names, key, dicts.max_words))
     scores = lexicon_scores(named.join(places, key, "left_semi"), dicts.lexicon, key)

@@ -78,6 +78,11 @@ def state_array(states: DataFrame) -> Column:
     rows = states.select("ord", "code", "name", "lat", "lon").limit(MAX_STATES + 1).collect()
     if len(rows) > MAX_STATES:
         raise ValueError("state dimension is larger than its bound")
-    listed = [row.asDict() for row in sorted(rows, key=lambda r: r["ord"])]
-    kind = "array<struct<ord:int,code:string,name:string,lat:double,lon:double>>"
+    listed = [
+        row.asDict() | {"low_code": (row["code"] or "").lower(), "low_name": (row["name"] or "").lower()}
+        for row in sorted(rows, key=lambda r: r["ord"])
+    ]
+    kind = (
+        "array<struct<ord:int,code:string,name:string,lat:double,lon:double,low_code:string,low_name:string>>"
+    )
     return F.from_json(F.lit(json.dumps(listed)), kind)
