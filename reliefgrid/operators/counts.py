@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliefgrid.functions.scalars import POLARITY_SCALE, polarity_units, round2
+from reliefgrid.session import cut
 
 KEYS = ["country", "state", "disasters"]
 COUNT_COLUMNS = ["country", "state", "disasters", "count", "avg_sentiment", "cities"]
@@ -82,10 +83,14 @@ def _with_cities(totals: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def merge_partials(*partials: DataFrame) -> DataFrame:
-    """Add up additive states; the order and the grouping of the parts do not matter."""
+    """Add up additive states; the order and the grouping of the parts do not matter.
+
+    The parts hold one row per group; they are written out, as totals and cities read them.
+    """
     rows = partials[0]
     for other in partials[1:]:
         rows = rows.unionByName(other)
+    rows = cut(rows)
     totals = rows.groupBy(*KEYS).agg(
         F.sum("count").alias("count"), F.sum("polarity_units").alias("polarity_units")
     )
@@ -97,6 +102,7 @@ def merge_counts(previous: DataFrame | None, new: DataFrame) -> DataFrame:
 
     Without a previous state the new counts stand; without new rows the previous state stays.
     """
+    new = cut(new)
     if previous is None or previous.isEmpty():
         return new.select(COUNT_COLUMNS)
     if new.isEmpty():
@@ -122,8 +128,11 @@ def severity(counts: DataFrame, zero_guard: bool = True) -> DataFrame:
     """Add the z-score of ``count`` over all rows, with the sample deviation.
 
     A deviation of zero divides by one (``zero_guard``); a single row has no severity. Sums
-    are exact, so the score does not depend on row order.
+    are exact, so the score does not depend on row order. The counts (one row per group) are
+    written out first: the totals and the rows then read one small table instead of running
+    the scan below twice.
     """
+    counts = cut(counts)
     wide = F.col("count").cast("decimal(19,0)")
     stats = counts.agg(
         F.count("count").cast("decimal(38,0)").alias("n"),

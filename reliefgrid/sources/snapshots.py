@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reliefgrid.session import cut
+
 
 def _children(spark: SparkSession, root: str) -> list[str]:
     """Names of the folders below ``root`` that hold a finished write."""
@@ -30,11 +32,12 @@ def write_snapshot(df: DataFrame, root: str) -> int | None:
     A version counts once its success marker exists, so readers never see half a write
     and a job may read the version it replaces.
     """
-    if df.isEmpty():
+    rows = cut(df)
+    if rows.isEmpty():
         return None
     done = versions(df.sparkSession, root)
     version = (done[-1] + 1) if done else 1
-    df.write.mode("overwrite").parquet(f"{root}/v={version}")
+    rows.write.mode("overwrite").parquet(f"{root}/v={version}")
     return version
 
 

@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from reliefgrid.operators import counts
 from reliefgrid.operators.posts import dedup_text
+from reliefgrid.plans.pipeline import Dictionaries, filtered_posts
+from reliefgrid.session import cut
 from reliefgrid.sources.snapshots import versions
 
 Batch = Callable[[DataFrame, int], None]
@@ -82,6 +84,22 @@ def partials_sink(root: str, prepare: Callable[[DataFrame], DataFrame] | None =
     return handle
 
 
+def live_sink(dicts: Dictionaries, posts_root: str, counts_root: str, key: str = "post_id") -> Batch:
+    """The live loop: each batch is tagged, resolved, stored as posts and counted.
+
+    The rows of a batch are worked out once; both stores hold them under the batch number.
+    """
+    store = rows_sink(posts_root)
+    count = partials_sink(counts_root, counts.single_disaster)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        rows = cut(filtered_posts(batch, dicts, key))
+        store(rows, number)
+        count(rows, number)
+
+    return handle
+
+
 def compact(spark: SparkSession, root: str) -> int | None:
     """Fold the finished batches into a total, so that reading stays short in a long run."""
     done = versions(spark, root, "batch")

@@ -66,6 +66,34 @@ def test_dedup_in_batches_and_across(spark, tmp_path):
     assert sorted(seen) == ["a", "b"]
 
 
+def test_live_loop_equals_one_batch(spark, tmp_path):
+    from reliefgrid.operators import tagging
+    from reliefgrid.plans import pipeline
+    from reliefgrid.sources.states import us_states
+    from test_pipeline import PLACES, SMOKE
+    from test_places import GAZ
+
+    feed, posts_root, counts_root = (str(tmp_path / n) for n in ("feed", "posts", "counts"))
+    schema = "post_id int, author string, created_at string, text string, uri string"
+    posts = [(i, "me", "2025", t, f"at://x/{i}") for i, (t, _) in enumerate(SMOKE)]
+    dicts = pipeline.Dictionaries(
+        phrases=tagging.phrase_table(DISASTER_SYNONYMS),
+        gazetteer=spark.createDataFrame(PLACES, GAZ),
+        states=us_states(spark),
+        lexicon=spark.createDataFrame([("huge", 0.4, 0.9)], "word string, polarity double, subjectivity double"),
+    )
+    for part in (posts[:4], posts[4:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(feed)
+    crisis.run_available(
+        crisis.read_feed(spark, feed, schema, 1), crisis.live_sink(dicts, posts_root, counts_root), str(tmp_path / "check")
+    )
+    whole = pipeline.filtered_posts(spark.createDataFrame(posts, schema), dicts)
+    key = ["post_id", "city", "state", "location", "polarity"]
+    stored = crisis.read_rows(spark, posts_root).select(key).collect()
+    assert sorted(map(str, stored)) == sorted(map(str, whole.select(key).collect()))
+    assert shown(crisis.running_counts(spark, counts_root)) == shown(pipeline.crisis_summary(whole))
+
+
 def test_snapshots(spark, tmp_path):
     root = str(tmp_path / "snap")
     assert snapshots.read_snapshot(spark, root) is None
