@@ -62,10 +62,7 @@ def lookup_exact(mentions: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 
 def is_state(mention: Column, states: Column) -> Column:
-    return bind(
-        F.lower(F.trim(mention)),
-        lambda low: F.exists(states, lambda s: (s["low_code"] == low) | (s["low_name"] == low)),
-    )
+    return F.array_contains(states["keys"], F.lower(F.trim(mention)))
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -236,9 +233,10 @@ def region_state(region: Column | str, states: Column, longest_match: bool = Fal
 
     ``longest_match`` takes the longest such name instead.
     """
-    hits = bind(
-        F.lower(as_col(region)), lambda low: F.filter(states, lambda s: F.contains(low, s["low_name"]))
+    found = bind(
+        F.lower(as_col(region)), lambda low: F.filter(states["rows"], lambda s: F.contains(low, s["low_name"]))
     )
+    hits = F.when(as_col(region).isNotNull(), found)
     if longest_match:
         ranked = F.transform(
             hits, lambda s: F.struct((-F.length(s["name"])).alias("r"), s["ord"].alias("o"), s.alias("s"))
@@ -248,7 +246,7 @@ def region_state(region: Column | str, states: Column, longest_match: bool = Fal
 
 
 def state_name(code: Column, states: Column) -> Column:
-    return F.get(F.filter(states, lambda s: s["code"] == code), F.lit(0))["name"]
+    return F.try_element_at(states["names"], code)
 
 
 def classify_place(

@@ -285,12 +285,18 @@ def doc_gazetteer(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _inline(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A word list as an inline table, whose size Spark knows."""
+    listed = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}D" for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS t({names})")
+
+
 def lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LEXICON, "word string, polarity double, subjectivity double")
+    return _inline(spark, LEXICON, "word, polarity, subjectivity")
 
 
 def lemmas(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LEMMAS, "word string, lemma string")
+    return _inline(spark, LEMMAS, "word, lemma")
 
 
 def turn_labels(spark: SparkSession, sf: str, role: str) -> DataFrame:

@@ -71,18 +71,22 @@ def us_states(spark: SparkSession) -> DataFrame:
 
 
 def state_array(states: DataFrame) -> Column:
-    """The dimension as one constant array in ``ord`` order, for look-through expressions.
+    """The dimension as one constant for expressions that look through all states.
 
-    It is read once; a dimension over ``MAX_STATES`` rows is refused.
+    Fields: ``rows`` (states in ``ord`` order), ``keys`` (lower-case codes and names) and
+    ``names`` (code to name). It is read once; a dimension over ``MAX_STATES`` rows is refused.
     """
-    rows = states.select("ord", "code", "name", "lat", "lon").limit(MAX_STATES + 1).collect()
-    if len(rows) > MAX_STATES:
+    found = states.select("ord", "code", "name", "lat", "lon").limit(MAX_STATES + 1).collect()
+    if len(found) > MAX_STATES:
         raise ValueError("state dimension is larger than its bound")
-    listed = [
-        row.asDict() | {"low_code": (row["code"] or "").lower(), "low_name": (row["name"] or "").lower()}
-        for row in sorted(rows, key=lambda r: r["ord"])
-    ]
+    listed = [row.asDict() for row in sorted(found, key=lambda r: r["ord"]) if row["code"] and row["name"]]
+    packed = {
+        "rows": [row | {"low_name": row["name"].lower()} for row in listed],
+        "keys": [row[field].lower() for row in listed for field in ("code", "name")],
+        "names": {row["code"]: row["name"] for row in listed},
+    }
     kind = (
-        "array<struct<ord:int,code:string,name:string,lat:double,lon:double,low_code:string,low_name:string>>"
+        "struct<rows:array<struct<ord:int,code:string,name:string,lat:double,lon:double,low_name:string>>,"
+        "keys:array<string>,names:map<string,string>>"
     )
-    return F.from_json(F.lit(json.dumps(listed)), kind)
+    return F.from_json(F.lit(json.dumps(packed)), kind)
