@@ -9,10 +9,10 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reliefgrid.functions.columns import as_col, bind
+from reliefgrid.functions.columns import bind
 from reliefgrid.functions.matching import choose_spans
 from reliefgrid.functions.scalars import POLARITY_SCALE, polarity_units
-from reliefgrid.functions.text import clean_text, strip_possessive, title_case, tokens, topic_words
+from reliefgrid.functions.text import clean_text, strip_possessive, tokens, topic_words
 from reliefgrid.operators.joins import lookup_join
 from reliefgrid.session import cut
 
@@ -218,7 +218,3 @@ def extract_with_model(
 
     out = f"`{key}` {kind}, disasters array<string>, locations array<string>, polarity double"
     return posts.select(key, clean_text("text").alias("cleaned")).mapInPandas(run, out)
-
-
-def title_names(items: Column | str) -> Column:
-    return F.transform(as_col(items), title_case)
