@@ -71,7 +71,9 @@ def rows_sink(root: str) -> Batch:
 
 
 def read_rows(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.option("basePath", root).parquet(f"{root}/batch=*")
+    """All finished batches, with their number as ``batch``."""
+    paths = [f"{root}/batch={b}" for b in versions(spark, root, "batch")]
+    return spark.read.option("basePath", root).parquet(*paths)
 
 
 def partials_sink(root: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> Batch:
