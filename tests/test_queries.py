@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from reliefgrid.plans.catalogue import QUERIES
+from reliefgrid.plans.oracle import ORACLE
 from tools.check_oracle import same_rows
 
 SF = "/root/testdata/sf0.001"
@@ -21,14 +23,15 @@ def base():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, base, name):
     found = base.execute(entry.oracle_sql()[name])
     columns = [d[0] for d in found.description]
