@@ -11,9 +11,10 @@ Inside a block a signature tree is joined with itself by dual traversal.
 3. A second pass packs the leading shingles into buckets of bounded size; each bucket finds the
    shingles that several classes hold. Frequent shingles are spread over buckets by class.
    Shingles with the same classes become one block.
-4. Each class meets its largest block in two random divisions into small chunks. What links is
-   merged, so a large group of near copies is one component after this step.
-5. Blocks that still hold several components are joined completely, large ones as a grid of
+4. Classes that blocks connect form clusters. A small cluster is one tree, joined with itself.
+5. In larger clusters each class meets its largest block in two random divisions into small
+   chunks. What links is merged, so a large group of near copies is one component after this step.
+   Blocks that still hold several components are joined completely, large ones as a grid of
    chunk pairs; chunk pairs of one component are skipped.
 
 No block, group or partner list is cut: what is skipped is already known to be connected.
@@ -26,7 +27,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefgrid.llm import sigtree
@@ -36,10 +37,20 @@ from reliefgrid.session import cut
 
 #: A shingle is frequent when one document in so many holds it.
 SHARE = 1000
-#: Leading shingles in a bucket, about; members and shingles of a chunk, about.
+#: Leading shingles in a bucket, about.
 BUCKET = 1_000_000
-CHUNK_MEMBERS = 192
+#: Classes whose bitmaps meet in one task, about, and size of a block up to which they do.
+HOPE_MEMBERS = 1024
+HOPE_LIMIT = 8192
+#: Members and shingles of a chunk, about.
+CHUNK_MEMBERS = 96
 CHUNK_SHINGLES = 200_000
+#: The same where chunks are joined in pairs.
+PAIR_MEMBERS = 1024
+PAIR_SHINGLES = 4_000_000
+#: A cluster of classes that share leading shingles is joined at once up to this size.
+SMALL_MEMBERS = 192
+SMALL_SHINGLES = 2_000_000
 
 
 def _sets(batch: pa.RecordBatch, column: str, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -56,7 +67,7 @@ def _frequent(hashes: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.nd
 
 def _profile(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Rows of kind 0: a document's size and fingerprint; of kind 1: a shingle frequent here and its count."""
-    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("bits", pa.binary())])
     hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     waiting, held, seen, documents = [], 0, set(), 0
     for batch in batches:
@@ -64,7 +75,7 @@ def _profile(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         rows = []
         for row, members in _sets(batch, "text", size):
             prints = fingerprint(members)
-            rows.append((0, ids[row], len(members), *prints))
+            rows.append((0, ids[row], len(members), *prints, sigtree.bitmap(members, sigtree.width_for(len(members))).tobytes()))
             documents += 1
             if prints[0] not in seen:
                 seen.add(prints[0])
@@ -83,7 +94,7 @@ def _profile(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
     if n:
         yield pa.RecordBatch.from_arrays([
             pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(counts),
-            pa.array(hashes.view(np.int64)), pa.nulls(n, pa.int64()),
+            pa.array(hashes.view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
         ], schema=schema)
 
 
@@ -185,6 +196,26 @@ def _set_rows(batches, size: int) -> Iterator[pa.RecordBatch]:
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["class", "members"])
 
 
+def _hopeful_rows(batches, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and block those whose bitmap could link with another one of the block."""
+    current, rows = None, []
+
+    def kept():
+        marks = sigtree.hopeful([np.frombuffer(r[2], np.uint64) for r in rows], [r[1] for r in rows], percent)
+        own = [r[0] for r, m in zip(rows, marks) if m]
+        return pa.RecordBatch.from_arrays([pa.array([current[1]] * len(own), pa.int64()), pa.array(own, pa.int64())], ["block", "class"])
+
+    for batch in batches:
+        for key, block, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if (key, block) != current:
+                if len(rows) > 1:
+                    yield kept()
+                current, rows = (key, block), []
+            rows.append(row)
+    if len(rows) > 1:
+        yield kept()
+
+
 def _link_group(table: pa.Table, percent: int) -> pa.Table:
     """Links of one chunk, or of a pair of chunks when both sides are there."""
     owner, label, side, blobs = (table.column(x).to_pylist() for x in ("class", "label", "side", "members"))
@@ -205,8 +236,14 @@ def _linked(chunks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy(*keys).applyInArrow(link, "a long, b long")
 
 
-def _spread(column: str, seed: int, parts) -> F.Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), parts)
+def _parts(count: str, weight: str) -> Column:
+    return F.ceil(F.greatest(F.col(count) / CHUNK_MEMBERS, F.col(weight) / CHUNK_SHINGLES))
+
+
+def _pair_parts(count: str, weight: str) -> Column:
+    """Chunks of a block that are joined in pairs; at least four where there is work for several tasks."""
+    least = F.when(F.col(count) > SMALL_MEMBERS, 4).otherwise(1)
+    return F.greatest(least, F.ceil(F.col(count) / PAIR_MEMBERS), F.ceil(F.col(weight) / PAIR_SHINGLES))
 
 
 def _first_chunks(members: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -225,13 +262,30 @@ def _first_chunks(members: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
+def _wide_blocks(wide: DataFrame, open_rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members and sizes of the blocks of large clusters.
+
+    A cluster is one block where that moves fewer rows than its blocks do together.
+    """
+    rows = cut(open_rows.join(wide, "class"))
+    moved = rows.groupBy("cluster").agg(F.count("*").alias("moved"))
+    merged = moved.join(spans, "cluster").where(F.col("count") * _pair_parts("count", "weight") <= F.col("moved")).select("cluster")
+    whole = wide.join(merged, "cluster").select(F.col("cluster").alias("block"), "class", "n")
+    apart = rows.join(merged, "cluster", "left_anti").select("block", "class", "n")
+    members = cut(whole.union(apart))
+    sizes = members.groupBy("block").agg(F.count("*").alias("count"), F.sum("n").alias("weight")).withColumn("parts", _parts("count", "weight"))
+    return members.select("block", "class"), cut(sizes)
+
+
 def _mixed_chunks(members: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFrame:
     """Chunks and chunk pairs of blocks that still hold several components."""
     known = members.join(labels.withColumnRenamed("node", "class"), "class", "left").select(
         "block", "class", F.coalesce("label", "class").alias("label")
     )
     mixed = known.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("block")
-    rows = known.join(mixed, "block", "left_semi").join(sizes, "block")
+    # What is left meets in pairs, so fewer and larger chunks move less.
+    larger = sizes.select("block", "count", _pair_parts("count", "weight").alias("parts"))
+    rows = known.join(mixed, "block", "left_semi").join(larger, "block")
     inner = rows.groupBy("block", "label").agg(F.count("*").alias("own"))
     rows = rows.join(inner, ["block", "label"]).withColumn(
         "chunk",
@@ -266,7 +320,7 @@ def ngram_jaccard_join(
     """
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profile = cut(texts.mapInArrow(partial(_profile, size=size), "kind int, id long, n long, fp long, fp2 long"))
+    profile = cut(texts.mapInArrow(partial(_profile, size=size), "kind int, id long, n long, fp long, fp2 long, bits binary"))
     rows = profile.where("kind = 0")
     totals = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
     often = (
@@ -285,27 +339,49 @@ def ngram_jaccard_join(
     blocks = cut(postings.repartition(buckets, "bucket").mapInArrow(_blocks, "block long, fp long").distinct())
 
     classes = cut(rows.where("n > 0 and id is not null").groupBy("fp", "fp2", "n").agg(F.min("id").alias("class")))
-    members = blocks.join(classes, "fp").select("block", "class", "n", "fp")
-    sizes = members.groupBy("block").agg(F.count("*").alias("count"), F.sum("n").alias("weight")).where("count > 1").select(
-        "block", "count",
-        F.ceil(F.greatest(F.col("count") / CHUNK_MEMBERS, F.col("weight") / CHUNK_SHINGLES)).alias("parts"),
+    members = cut(blocks.join(classes, "fp").select("block", "class", "n", "fp"))
+    sizes = cut(
+        members.groupBy("block").agg(F.count("*").alias("count"), F.sum("n").alias("weight")).where("count > 1")
+        .withColumn("parts", _parts("count", "weight"))
     )
-    members = cut(members)
-    sizes = cut(sizes)
-    wanted = members.join(sizes, "block", "left_semi").select("class", "fp").distinct()
+    # The bitmaps of a block tell which classes could link at all; larger blocks go by pairs of parts.
+    bits = rows.where("n > 0").select(F.col("id").alias("class"), "fp", "bits")
+    parts = F.ceil(F.col("count") / HOPE_MEMBERS).cast("int")
+    tested = members.join(sizes.where(F.col("count") <= HOPE_LIMIT).select("block", parts.alias("parts")), "block").join(bits, ["class", "fp"])
+    own = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+    tested = tested.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "block", "class", "n", "bits")
+    hopeful = tested.repartition("key").sortWithinPartitions("key", "block").mapInArrow(
+        partial(_hopeful_rows, percent=percent), "block long, class long")
+    untested = members.join(sizes.where(F.col("count") > HOPE_LIMIT).select("block"), "block", "left_semi").select("block", "class")
+    open_rows = cut(hopeful.union(untested).distinct())
+    least = open_rows.groupBy("block").agg(F.min("class").alias("least"))
+    clusters = components(open_rows.join(least, "block").select(F.col("class").alias("a"), F.col("least").alias("b"))).select(
+        F.col("node").alias("class"), F.col("label").alias("cluster"))
+    inner = cut(members.select("class", "n", "fp").distinct().join(clusters, "class"))
+    spans = inner.groupBy("cluster").agg(F.count("*").alias("count"), F.sum("n").alias("weight"))
+    small = (F.col("count") <= SMALL_MEMBERS) & (F.col("weight") <= SMALL_SHINGLES)
     sets = cut(
-        wanted.join(texts, F.col("class") == F.col("id")).select("class", "text", "fp")
+        inner.select("class", "fp").join(texts, F.col("class") == F.col("id")).select("class", "text", "fp")
         .mapInArrow(partial(_set_rows, size=size), "class long, members binary")
     )
-    near = cut(_linked(_first_chunks(members, sizes), sets, percent))
-    rest = cut(_linked(_mixed_chunks(members.select("block", "class"), sizes, components(near)), sets, percent))
-    labels = components(near.union(rest))
+    whole = inner.join(spans.where(small), "cluster").select(
+        F.col("cluster").alias("block"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"),
+        "class", F.col("class").alias("label"), F.lit(0).alias("side"))
+    found = cut(_linked(whole, sets, percent))
+    wide = cut(inner.join(spans.where(~small), "cluster").select("class", "n", "cluster"))
+    if not wide.isEmpty():
+        members, sizes = _wide_blocks(wide, open_rows, spans)
+        near = cut(_linked(_first_chunks(members, sizes), sets, percent))
+        rest = cut(_linked(_mixed_chunks(members, sizes, components(near)), sets, percent))
+        found = found.union(near).union(rest)
+    labels = components(found)
 
     grouped = classes.join(labels, F.col("class") == F.col("node"), "left").select(
         F.col("fp").alias("g1"), F.col("fp2").alias("g2"), F.col("n").alias("g3"), F.coalesce("label", "class").alias("component"),
     )
     same = (F.col("fp") == F.col("g1")) & (F.col("fp2") == F.col("g2")) & (F.col("n") == F.col("g3"))
-    found = rows.join(grouped, same, "left").withColumn(
+    result = rows.join(grouped, same, "left").withColumn(
         "component", F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     )
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
