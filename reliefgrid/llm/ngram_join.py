@@ -35,8 +35,10 @@ from reliefgrid.llm.components import components
 from reliefgrid.llm.textbytes import fingerprint, mix, shingle_sets, slices
 from reliefgrid.session import cut
 
-#: A shingle is frequent when one document in so many holds it.
-SHARE = 1000
+#: A shingle is frequent when one document in so many holds it, and spread over buckets when one
+#: in ``SPREAD`` and 256 do.
+SHARE = 4000
+SPREAD = 1000
 #: Leading shingles in a bucket, about.
 BUCKET = 1_000_000
 #: Classes whose bitmaps meet in one task, about, and size of a block up to which they do.
@@ -98,8 +100,8 @@ def _profile(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         ], schema=schema)
 
 
-def _leading(members: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The leading shingles of a set, rare ones first, and which of them are frequent."""
+def _leading(members: np.ndarray, frequent: np.ndarray, counts: np.ndarray, spread: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leading shingles of a set, rare ones first, and which of them are to be spread."""
     n = len(members)
     want = n - -(-n * percent // 100) + 1
     at = np.searchsorted(frequent, members)
@@ -114,7 +116,8 @@ def _leading(members: np.ndarray, frequent: np.ndarray, counts: np.ndarray, perc
     often, size = members[known], counts[at[known]]
     order = np.lexsort((often, size))
     both = np.concatenate([members[~known], often[order]])[:want]
-    return both, np.arange(want) >= n - len(often)
+    wide = np.concatenate([np.zeros(n - len(often), bool), size[order] >= spread])[:want]
+    return both, wide
 
 
 def _postings(batches, size: int, percent: int, buckets: int, frequent) -> Iterator[pa.RecordBatch]:
@@ -329,7 +332,7 @@ def ngram_jaccard_join(
     )
     hashes = often["fp"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    frequent = spark.sparkContext.broadcast((hashes[order], often["n"].to_numpy(np.int64)[order]))
+    frequent = spark.sparkContext.broadcast((hashes[order], often["n"].to_numpy(np.int64)[order], max(256, totals[0] // SPREAD)))
 
     buckets = max(16, int(totals[1] * (100 - percent) // 100 // BUCKET) + 1)
     postings = texts.mapInArrow(
