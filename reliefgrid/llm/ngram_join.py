@@ -41,9 +41,8 @@ SHARE = 4000
 SPREAD = 1000
 #: Leading shingles in a bucket, about.
 BUCKET = 1_000_000
-#: Classes whose bitmaps meet in one task, about, and size of a block up to which they do.
-HOPE_MEMBERS = 1024
-HOPE_LIMIT = 8192
+#: Classes of a block up to which their bitmaps meet in one task.
+HOPE_LIMIT = 1024
 #: Members and shingles of a chunk, about.
 CHUNK_MEMBERS = 96
 CHUNK_SHINGLES = 200_000
@@ -200,20 +199,20 @@ def _set_rows(batches, size: int) -> Iterator[pa.RecordBatch]:
 
 
 def _hopeful_rows(batches, percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and block those whose bitmap could link with another one of the block."""
+    """Of rows sorted by block those whose bitmap could link with another one of the block."""
     current, rows = None, []
 
     def kept():
         marks = sigtree.hopeful([np.frombuffer(r[2], np.uint64) for r in rows], [r[1] for r in rows], percent)
         own = [r[0] for r, m in zip(rows, marks) if m]
-        return pa.RecordBatch.from_arrays([pa.array([current[1]] * len(own), pa.int64()), pa.array(own, pa.int64())], ["block", "class"])
+        return pa.RecordBatch.from_arrays([pa.array([current] * len(own), pa.int64()), pa.array(own, pa.int64())], ["block", "class"])
 
     for batch in batches:
-        for key, block, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if (key, block) != current:
+        for block, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if block != current:
                 if len(rows) > 1:
                     yield kept()
-                current, rows = (key, block), []
+                current, rows = block, []
             rows.append(row)
     if len(rows) > 1:
         yield kept()
@@ -347,14 +346,11 @@ def ngram_jaccard_join(
         members.groupBy("block").agg(F.count("*").alias("count"), F.sum("n").alias("weight")).where("count > 1")
         .withColumn("parts", _parts("count", "weight"))
     )
-    # The bitmaps of a block tell which classes could link at all; larger blocks go by pairs of parts.
+    # The bitmaps of a block tell which classes could link at all. Very large blocks go on whole:
+    # most of their classes are near copies, and merging them is cheaper than telling them apart.
     bits = rows.where("n > 0").select(F.col("id").alias("class"), "fp", "bits")
-    parts = F.ceil(F.col("count") / HOPE_MEMBERS).cast("int")
-    tested = members.join(sizes.where(F.col("count") <= HOPE_LIMIT).select("block", parts.alias("parts")), "block").join(bits, ["class", "fp"])
-    own = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
-    tested = tested.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "block", "class", "n", "bits")
-    hopeful = tested.repartition("key").sortWithinPartitions("key", "block").mapInArrow(
+    tested = members.join(sizes.where(F.col("count") <= HOPE_LIMIT).select("block"), "block").join(bits, ["class", "fp"])
+    hopeful = tested.select("block", "class", "n", "bits").repartition("block").sortWithinPartitions("block").mapInArrow(
         partial(_hopeful_rows, percent=percent), "block long, class long")
     untested = members.join(sizes.where(F.col("count") > HOPE_LIMIT).select("block"), "block", "left_semi").select("block", "class")
     open_rows = cut(hopeful.union(untested).distinct())
