@@ -588,7 +588,7 @@ ORACLE["place_lookup_two_stage"] = with_(
     MENTION_ROWS,
     """
 wanted AS (
-  SELECT DISTINCT CASE WHEN contains(mention, '#') THEN substr(mention, 4, 40) ELSE mention END AS mention
+  SELECT DISTINCT CASE WHEN contains(mention, '#') THEN substr(mention, 4) ELSE mention END AS mention
   FROM mention_rows
 ),
 named AS (

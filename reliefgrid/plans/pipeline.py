@@ -79,12 +79,12 @@ def filtered_posts(
 ) -> DataFrame:
     """One row per crisis post and resolved place.
 
-    Cheap steps come first: copies and empty texts go, then disasters are tagged inside the
-    row. Only the posts that name a disaster (few in a feed) are kept for place tagging,
-    resolution and sentiment; they are written out once, as several branches read them.
+    Steps inside the row come first: empty texts go and disasters are tagged. Only the posts that
+    name a disaster (few in a feed) are shuffled, to drop copies; a tag depends on the text alone,
+    so copies share it. What is left is written out once, as several branches read it.
     """
-    unique = post_ops.filter_nonempty(post_ops.dedup_text(posts, order or [key]))
-    named = spread(cut(naming_disaster(unique, dicts.phrases)), key)
+    tagged = naming_disaster(post_ops.filter_nonempty(posts), dicts.phrases)
+    named = spread(cut(post_ops.dedup_text(tagged, order or [key])), key)
 
     places = cut(tag_places(named, dicts.names, key, dicts.max_words))
     scores = lexicon_scores(named.join(places, key, "left_semi"), dicts.lexicon, key)

@@ -82,10 +82,12 @@ def _read_damaged(spark: SparkSession, path: str, schema: str, header: bool) ->
 
 
 def read_complete_rows(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
-    """Keep rows with all columns, cut extra ones; short rows are dropped."""
+    """Keep rows with all columns, empty ones too, and cut extra ones; short rows are dropped."""
     raw = _read_damaged(spark, path, schema, header)
     names = [c for c in raw.columns if c != DAMAGED]
-    return raw.where(F.col(DAMAGED).isNull() | F.col(names[-1]).isNotNull()).select(names)
+    # Commas inside quotes part no fields.
+    bare = F.regexp_replace(DAMAGED, '"(?:[^"]|"")*"', "")
+    return raw.where(F.col(DAMAGED).isNull() | (F.size(F.split(bare, ",")) >= len(names))).select(names)
 
 
 def read_padded_rows(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:

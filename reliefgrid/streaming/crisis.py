@@ -119,6 +119,10 @@ def running_partials(spark: SparkSession, root: str) -> DataFrame:
     base = totals[-1] if totals else -1
     paths = [f"{root}/total={base}"] if totals else []
     paths += [f"{root}/batch={b}" for b in versions(spark, root, "batch") if b > base]
+    if not paths:
+        # Before the first batch there is nothing to read.
+        rows = spark.createDataFrame([], "country string, state string, disasters string, city string, polarity double")
+        return counts.merge_partials(counts.count_partials(rows))
     return counts.merge_partials(spark.read.parquet(*paths))
 
 

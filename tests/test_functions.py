@@ -13,7 +13,7 @@ def column(spark, values, kind, *exprs):
 
 
 CLEAN = {
-    "RT @Gizmodo: Wildfires raging through Salinas! Stay safe!": "RT Wildfires raging through Salinas Stay safe",
+    "RT @newsdesk: Smoke drifts over Fresno! Keep indoors!": "RT Smoke drifts over Fresno Keep indoors",
     "Floods #RockIsland #AustinTexas #SanMateo": "Floods Rock Island, Austin Texas, San Mateo,",
     "#Rock's x #Rocké #aB#cD @http://x.y/#Foo http://x/#FooBar é’s ünï #http://Q a_b ## #":
         "Rock, s x Rock,é a B,c D, x y Foo, é s ünï http, Q a_b",
@@ -43,10 +43,10 @@ def test_small_text_rules(spark):
     got = column(spark, ["# Buffalo's #", "Reno’s", "Its", "s"], "string", text.strip_possessive("v"))
     assert [g[0] for g in got] == ["Buffalo", "Reno", "Its", "s"]
     stop = ["i", "the", "its", "again", "it"]
-    given = ["I love the weather today! #sunny", "I can't believe it's raining again! #rain", "@a http://x.y z"]
+    given = ["I like the river today! #calm", "I don't think it's snowing again! #snow", "@a http://x.y z"]
     got = column(spark, given, "string", text.topic_words("v", stop))
     assert [g[0] for g in got] == [
-        ["love", "weather", "today", "sunny"], ["cant", "believe", "raining", "rain"], ["z"],
+        ["like", "river", "today", "calm"], ["dont", "think", "snowing", "snow"], ["z"],
     ]
     assert column(spark, ["RockIsland"], "string", text.split_camel("v")) == [("Rock Island",)]
 

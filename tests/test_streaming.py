@@ -145,3 +145,15 @@ def test_shared_dir_is_stable(spark, name):
     from reliefgrid.session import scratch_path, shared_dir
 
     assert scratch_path(spark, name).startswith(shared_dir(spark))
+
+
+def test_running_counts_before_the_first_batch(spark, tmp_path):
+    assert crisis.running_counts(spark, str(tmp_path / "nothing")).collect() == []
+
+
+def test_lenient_rows_keep_a_long_row_with_an_empty_last_field(spark, tmp_path):
+    from reliefgrid.sources.readers import read_complete_rows
+
+    (tmp_path / "x.csv").write_text('1,2,3\n4,5\n6,7,8,9\n6,7,,9\n1,2,\n"a,b",c\n"a,b",c,,d\n')
+    rows = read_complete_rows(spark, str(tmp_path / "x.csv"), "a string, b string, c string", header=False).collect()
+    assert [tuple(r) for r in rows] == [("1", "2", "3"), ("6", "7", "8"), ("6", "7", None), ("1", "2", None), ("a,b", "c", None)]
