@@ -1,7 +1,9 @@
 """N-gram Jaccard join: signature trees within blocks of documents that share a rare shingle.
 
-Two sets that link share one of their first ``n - ceil(t * n) + 1`` shingles in any order of all
-shingles, so blocks by those shingles lose no link. The order puts frequent shingles last.
+Two sets that link share ``k`` of their first ``n - ceil(t * n) + k`` shingles in any order of all
+shingles, so blocks by those shingles lose no link. ``k`` grows with the set: a set whose leading
+shingles are seldom held by another one of like size links with none. The order puts frequent
+shingles last.
 Inside a block a signature tree is joined with itself by dual traversal.
 
 1. One pass over the texts gives each document's set size and fingerprint, and the shingles that
@@ -9,8 +11,9 @@ Inside a block a signature tree is joined with itself by dual traversal.
    whatever the table holds, so that list is collected and broadcast).
 2. Equal fingerprints form a class; only classes go on.
 3. A second pass packs the leading shingles into buckets of bounded size; each bucket finds the
-   shingles that several classes hold. Frequent shingles are spread over buckets by class.
-   Shingles with the same classes become one block.
+   shingles that several classes of like size hold. Frequent shingles are spread over buckets by
+   class. Shingles with the same classes become one block. Classes with fewer than ``k`` such
+   shingles go no further, and each class leaves the ``k - 1`` that most classes hold.
 4. Classes that blocks connect form clusters. A small cluster is one tree, joined with itself.
 5. In larger clusters each class meets its largest block in two random divisions into small
    chunks. What links is merged, so a large group of near copies is one component after this step.
@@ -27,7 +30,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reliefgrid.llm import sigtree
@@ -41,6 +44,8 @@ SHARE = 4000
 SPREAD = 1000
 #: Leading shingles in a bucket, about.
 BUCKET = 1_000_000
+#: ``k`` is this part of the percentage: more leading shingles, fewer sets with enough of them in common.
+AGREED = 600
 #: Classes of a block up to which their bitmaps meet in one task.
 HOPE_LIMIT = 1024
 #: Members and shingles of a chunk, about.
@@ -76,7 +81,7 @@ def _profile(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         rows = []
         for row, members in _sets(batch, "text", size):
             prints = fingerprint(members)
-            rows.append((0, ids[row], len(members), *prints, sigtree.bitmap(members, sigtree.width_for(len(members))).tobytes()))
+            rows.append((0, ids[row], len(members), *prints, sigtree.bitmap(members, sigtree.narrow_width(len(members))).tobytes()))
             documents += 1
             if prints[0] not in seen:
                 seen.add(prints[0])
@@ -99,10 +104,18 @@ def _profile(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         ], schema=schema)
 
 
+def _agreed(n: int, percent: int) -> int:
+    """How many leading shingles two sets share at least if they link, the smaller one of this size.
+
+    It is far below ``percent`` of them, so a link of sets with different sizes holds as many.
+    """
+    return max(1, n * percent // AGREED)
+
+
 def _leading(members: np.ndarray, frequent: np.ndarray, counts: np.ndarray, spread: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The leading shingles of a set, rare ones first, and which of them are to be spread."""
     n = len(members)
-    want = n - -(-n * percent // 100) + 1
+    want = n - -(-n * percent // 100) + _agreed(n, percent)
     at = np.searchsorted(frequent, members)
     if len(frequent):
         at[at == len(frequent)] = 0
@@ -120,23 +133,27 @@ def _leading(members: np.ndarray, frequent: np.ndarray, counts: np.ndarray, spre
 
 
 def _postings(batches, size: int, percent: int, buckets: int, frequent) -> Iterator[pa.RecordBatch]:
-    """Leading shingles with their class fingerprints, packed by bucket."""
-    names = ["bucket", "tokens", "prints", "often"]
-    tokens, prints, often, held = [], [], [], 0
+    """Leading shingles packed by bucket, with the fingerprint, set size and number of shingles there of each class."""
+    names = ["bucket", "tokens", "often", "prints", "sizes", "runs"]
+    tokens, prints, sizes, often, held = [], [], [], [], 0
 
     def packed():
-        token, owner, hot = (np.concatenate(x) for x in (tokens, prints, often))
+        token, owner, n, hot = (np.concatenate(x) for x in (tokens, prints, sizes, often))
         # A frequent shingle goes to as many buckets as its classes need.
         spread = np.where(hot, mix(owner.view(np.uint64)), np.uint64(0))
         bucket = (mix(token ^ spread) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         for part in np.split(order, edges[1:]):
-            yield int(bucket[part[0]]), token[part].tobytes(), owner[part].tobytes(), hot[part].tobytes()
+            own = owner[part]
+            begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            runs = np.diff(np.append(begin, len(own))).astype(np.int32)
+            yield (int(bucket[part[0]]), token[part].tobytes(), np.packbits(hot[part]).tobytes(),
+                   own[begin].tobytes(), n[part][begin].tobytes(), runs.tobytes())
 
     def flush():
         rows = list(packed())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 3))], names)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 5))], names)
 
     seen: set[int] = set()
     for batch in batches:
@@ -152,40 +169,51 @@ def _postings(batches, size: int, percent: int, buckets: int, frequent) -> Itera
             lead, hot = _leading(members, *frequent.value, percent)
             tokens.append(lead)
             prints.append(np.full(len(lead), own, np.int64))
+            sizes.append(np.full(len(lead), len(members), np.int32))
             often.append(hot)
             held += len(lead)
             if held > 2_000_000:
                 yield flush()
-                tokens, prints, often, held = [], [], [], 0
+                tokens, prints, sizes, often, held = [], [], [], [], 0
     if held:
         yield flush()
 
 
-def _blocks(batches) -> Iterator[pa.RecordBatch]:
-    """Blocks of a bucket: shingles that several classes hold, one for each distinct list of classes."""
-    parts = [(np.frombuffer(t, np.uint64), np.frombuffer(p, np.int64), np.frombuffer(o, bool))
-             for batch in batches for t, p, o in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
+def _blocks(batches, percent: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of a bucket: shingles that several classes of like size hold, one for each distinct list of classes.
+
+    ``weight`` counts the shingles of the block.
+    """
+    parts = []
+    for batch in batches:
+        for tokens, hot, prints, sizes, runs in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
+            token, run = np.frombuffer(tokens, np.uint64), np.frombuffer(runs, np.int32)
+            parts.append((token, np.repeat(np.frombuffer(prints, np.int64), run), np.repeat(np.frombuffer(sizes, np.int32), run),
+                          np.unpackbits(np.frombuffer(hot, np.uint8), count=len(token)).astype(bool)))
     if not parts:
         return
-    token, owner, often = (np.concatenate(x) for x in zip(*parts))
+    token, owner, n, often = (np.concatenate(x) for x in zip(*parts))
     del parts
-    order = np.lexsort((owner, token))
-    token, owner, often = token[order], owner[order], often[order]
+    order = np.lexsort((owner, n, token))
+    token, owner, n, often = token[order], owner[order], n[order].astype(np.int64), often[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-    token, owner, often = token[new], owner[new], often[new]
-    begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    token, owner, n, often = token[new], owner[new], n[new], often[new]
+    # A list ends where the next larger set is too large to link; a spread shingle is not seen whole here.
+    ends = (token[1:] != token[:-1]) | (~often[1:] & (100 * n[:-1] < percent * n[1:]))
+    begin = np.flatnonzero(np.concatenate(([True], ends)))
     count = np.diff(np.append(begin, len(token)))
     lists = mix(np.add.reduceat(mix(owner.view(np.uint64)), begin) + count.astype(np.uint64))
     hot = often[begin]
     lists[hot] = token[begin][hot]
-    _, first = np.unique(lists, return_index=True)
-    keep = np.zeros(len(begin), bool)
-    keep[first] = True
-    keep &= hot | (count > 1)
-    chosen = np.repeat(keep, count)
+    _, first, copies = np.unique(lists, return_index=True, return_counts=True)
+    weight = np.zeros(len(begin), np.int64)
+    weight[first] = copies
+    weight[~hot & (count < 2)] = 0
+    weights = np.repeat(weight, count)
+    chosen = weights > 0
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.repeat(lists, count)[chosen].view(np.int64)), pa.array(owner[chosen])], ["block", "fp"]
+        [pa.array(np.repeat(lists, count)[chosen].view(np.int64)), pa.array(owner[chosen]), pa.array(weights[chosen])], ["block", "fp", "weight"]
     )
 
 
@@ -333,15 +361,26 @@ def ngram_jaccard_join(
     order = np.argsort(hashes)
     frequent = spark.sparkContext.broadcast((hashes[order], often["n"].to_numpy(np.int64)[order], max(256, totals[0] // SPREAD)))
 
-    buckets = max(16, int(totals[1] * (100 - percent) // 100 // BUCKET) + 1)
+    buckets = max(16, int(totals[1] * (AGREED * (100 - percent) + 100 * percent) // (100 * AGREED) // BUCKET) + 1)
     postings = texts.mapInArrow(
         partial(_postings, size=size, percent=percent, buckets=buckets, frequent=frequent),
-        "bucket long, tokens binary, prints binary, often binary",
+        "bucket long, tokens binary, often binary, prints binary, sizes binary, runs binary",
+    )
+    blocks = cut(
+        postings.repartition(buckets, "bucket").mapInArrow(partial(_blocks, percent=percent), "block long, fp long, weight long")
+        .groupBy("block", "fp").agg(F.sum("weight").alias("weight"))
     )
-    blocks = cut(postings.repartition(buckets, "bucket").mapInArrow(_blocks, "block long, fp long").distinct())
 
     classes = cut(rows.where("n > 0 and id is not null").groupBy("fp", "fp2", "n").agg(F.min("id").alias("class")))
-    members = cut(blocks.join(classes, "fp").select("block", "class", "n", "fp"))
+    # The partner of a class can be smaller than the class; what both share follows from the smaller one.
+    agreed = F.greatest(F.lit(1), F.expr(f"(n * {percent} + 99) div 100 * {percent} div {AGREED}"))
+    likely = blocks.groupBy("fp").agg(F.sum("weight").alias("shared")).join(classes, "fp").where(F.col("shared") >= agreed)
+    shared = cut(blocks.join(likely, "fp").select("block", "class", "n", "fp", "weight"))
+    # All classes rank blocks alike, so of the shingles that two of them must share the rarest one is never left out.
+    popular = Window.partitionBy("class", "fp").orderBy(F.desc("count"), "block")
+    counts = shared.groupBy("block").agg(F.count("*").alias("count")).where("count > 1")
+    ranked = shared.join(counts, "block").withColumn("so_far", F.sum("weight").over(popular.rowsBetween(Window.unboundedPreceding, 0)))
+    members = cut(ranked.where(F.col("so_far") >= agreed).select("block", "class", "n", "fp"))
     sizes = cut(
         members.groupBy("block").agg(F.count("*").alias("count"), F.sum("n").alias("weight")).where("count > 1")
         .withColumn("parts", _parts("count", "weight"))

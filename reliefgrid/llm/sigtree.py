@@ -18,6 +18,11 @@ def width_for(n: int) -> int:
     return min(1 << 18, max(256, 1 << max(0, 4 * n - 1).bit_length()))
 
 
+def narrow_width(n: int) -> int:
+    """A quarter of it, enough to tell sets apart that share up to half of their tokens."""
+    return min(1 << 18, max(256, 1 << n.bit_length()))
+
+
 def bitmap(members: np.ndarray, width: int) -> np.ndarray:
     """The tokens of a set as bits; folding one half onto the other gives that of half the width."""
     bits = np.zeros(width, bool)
