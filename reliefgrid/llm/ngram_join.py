@@ -218,12 +218,14 @@ def _blocks(batches, percent: int) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(batches, size: int) -> Iterator[pa.RecordBatch]:
+    """The sets of classes; their clusters come along."""
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
     for batch in batches:
-        kinds, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        rows = [(kinds[row], members.tobytes()) for row, members in _sets(batch, "text", size)
+        owner, wanted, cluster, small = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
+        rows = [(owner[row], cluster[row], small[row], members.tobytes()) for row, members in _sets(batch, "text", size)
                 if fingerprint(members)[0] == wanted[row]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["class", "members"])
+            [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["class", "cluster", "small", "members"])
 
 
 def _hopeful_rows(batches, percent: int) -> Iterator[pa.RecordBatch]:
@@ -256,14 +258,13 @@ def _link_group(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([owner[i] for i, _ in found], pa.int64()), "b": pa.array([owner[j] for _, j in found], pa.int64())})
 
 
-def _linked(chunks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    keys = ["block", "x", "y"]
-    rows = chunks.join(sets, "class").select(*keys, "class", "label", "side", "members")
-
+def _linked(rows: DataFrame, percent: int) -> DataFrame:
+    """Links within each group of ``block, x, y`` of rows with their sets."""
     def link(table: pa.Table) -> pa.Table:
         return _link_group(table, percent)
 
-    return rows.groupBy(*keys).applyInArrow(link, "a long, b long")
+    keys = ["block", "x", "y"]
+    return rows.select(*keys, "class", "label", "side", "members").groupBy(*keys).applyInArrow(link, "a long, b long")
 
 
 def _parts(count: str, weight: str) -> Column:
@@ -399,19 +400,21 @@ def ngram_jaccard_join(
     inner = cut(members.select("class", "n", "fp").distinct().join(clusters, "class"))
     spans = inner.groupBy("cluster").agg(F.count("*").alias("count"), F.sum("n").alias("weight"))
     small = (F.col("count") <= SMALL_MEMBERS) & (F.col("weight") <= SMALL_SHINGLES)
+    placed = cut(inner.join(spans.select("cluster", small.alias("small")), "cluster"))
     sets = cut(
-        inner.select("class", "fp").join(texts, F.col("class") == F.col("id")).select("class", "text", "fp")
-        .mapInArrow(partial(_set_rows, size=size), "class long, members binary")
+        placed.join(texts, F.col("class") == F.col("id")).select("class", "text", "fp", "cluster", "small")
+        .mapInArrow(partial(_set_rows, size=size), "class long, cluster long, small boolean, members binary")
     )
-    whole = inner.join(spans.where(small), "cluster").select(
-        F.col("cluster").alias("block"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"),
-        "class", F.col("class").alias("label"), F.lit(0).alias("side"))
-    found = cut(_linked(whole, sets, percent))
-    wide = cut(inner.join(spans.where(~small), "cluster").select("class", "n", "cluster"))
+    zero = F.lit(0).cast("long")
+    found = cut(_linked(sets.where("small").select(
+        F.col("cluster").alias("block"), zero.alias("x"), zero.alias("y"), "class", F.col("class").alias("label"), F.lit(0).alias("side"), "members"), percent))
+    wide = cut(placed.where("not small").select("class", "n", "cluster"))
     if not wide.isEmpty():
+        # Only the sets of large clusters move once more.
+        large = sets.where("not small").select("class", "members")
         members, sizes = _wide_blocks(wide, open_rows, spans)
-        near = cut(_linked(_first_chunks(members, sizes), sets, percent))
-        rest = cut(_linked(_mixed_chunks(members, sizes, components(near)), sets, percent))
+        near = cut(_linked(_first_chunks(members, sizes).join(large, "class"), percent))
+        rest = cut(_linked(_mixed_chunks(members, sizes, components(near)).join(large, "class"), percent))
         found = found.union(near).union(rest)
     labels = components(found)
 
