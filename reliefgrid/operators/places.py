@@ -364,14 +364,14 @@ def enrich_first_place(
 def decode_state(df: DataFrame, states: DataFrame, code: str, name: str, keep_unknown: bool) -> DataFrame:
     """State name for a code column; unknown codes stay or become null."""
     dim = states.select(F.col("code").alias(code), F.col("name").alias("_name"))
-    joined = df.join(F.broadcast(dim), code, "left")
+    joined = df.join(dim, code, "left")
     value = F.coalesce("_name", code) if keep_unknown else F.col("_name")
     return joined.withColumn(name, value).drop("_name")
 
 
 def state_centroid(df: DataFrame, states: DataFrame, name: str = "state") -> DataFrame:
     dim = states.select(F.col("name").alias(name), F.col("lat").alias("state_lat"), F.col("lon").alias("state_lon"))
-    return df.join(F.broadcast(dim), name, "left")
+    return df.join(dim, name, "left")
 
 
 def places_named(gazetteer: DataFrame, name: str, n: int = 5) -> DataFrame:

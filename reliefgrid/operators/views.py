@@ -51,7 +51,7 @@ def map_markers(counts: DataFrame, coordinates: DataFrame, states: DataFrame) ->
     """One marker per counts row: centre of its known cities, else of its state, else none."""
     keys = ["country", "state", "disasters"]
     named = counts.join(
-        F.broadcast(states.select(F.col("code").alias("state"), F.col("name").alias("_name"))), "state", "left"
+        states.select(F.col("code").alias("state"), F.col("name").alias("_name")), "state", "left"
     ).withColumn("full_state", F.coalesce("_name", "state")).drop("_name")
     cities = named.select(*keys, F.explode("cities").alias("city")).select(
         *keys, place_key("city").alias("city_key"), place_key("state").alias("state_key")
@@ -79,7 +79,7 @@ def map_markers(counts: DataFrame, coordinates: DataFrame, states: DataFrame) ->
     has_city = F.col("c_lat").isNotNull()
     return (
         named.join(centres, keys, "left")
-        .join(F.broadcast(centre), "full_state", "left")
+        .join(centre, "full_state", "left")
         .select(
             "state",
             "full_state",
