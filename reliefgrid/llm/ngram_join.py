@@ -57,6 +57,8 @@ PAIR_SHINGLES = 4_000_000
 #: A cluster of classes that share leading shingles is joined at once up to this size.
 SMALL_MEMBERS = 192
 SMALL_SHINGLES = 2_000_000
+#: Bits of the filter that keeps texts of no wanted class out of a shuffle.
+FILTER_BITS = 1 << 26
 
 
 def _sets(batch: pa.RecordBatch, column: str, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -267,6 +269,29 @@ def _linked(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select(*keys, "class", "label", "side", "members").groupBy(*keys).applyInArrow(link, "a long, b long")
 
 
+def _likely_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts of ``wanted`` classes and few others, without a shuffle of the texts.
+
+    The ids set bits of a filter of ``FILTER_BITS`` bits, so at most a 64th of that many rows are
+    broadcast whatever the table holds. A full filter lets more texts through and loses none.
+    """
+    def slot(key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+    def word(key: str) -> Column:
+        return F.floor(slot(key) / 64)
+
+    def place(key: str) -> Column:
+        return F.pmod(slot(key), F.lit(64)).cast("int")
+
+    one = F.lit(1).cast("long")
+    bits = wanted.groupBy(word("class").alias("word")).agg(F.bit_or(F.call_function("shiftleft", one, place("class"))).alias("bits"))
+    return (
+        texts.withColumn("word", word("id")).join(F.broadcast(bits), "word")
+        .where(F.getbit("bits", place("id")) == 1).select("id", "text")
+    )
+
+
 def _parts(count: str, weight: str) -> Column:
     return F.ceil(F.greatest(F.col(count) / CHUNK_MEMBERS, F.col(weight) / CHUNK_SHINGLES))
 
@@ -402,7 +427,7 @@ def ngram_jaccard_join(
     small = (F.col("count") <= SMALL_MEMBERS) & (F.col("weight") <= SMALL_SHINGLES)
     placed = cut(inner.join(spans.select("cluster", small.alias("small")), "cluster"))
     sets = cut(
-        placed.join(texts, F.col("class") == F.col("id")).select("class", "text", "fp", "cluster", "small")
+        placed.join(_likely_texts(texts, placed), F.col("class") == F.col("id")).select("class", "text", "fp", "cluster", "small")
         .mapInArrow(partial(_set_rows, size=size), "class long, cluster long, small boolean, members binary")
     )
     zero = F.lit(0).cast("long")
