@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reliefgrid.functions.columns import bind
 from reliefgrid.functions.matching import choose_spans
 from reliefgrid.functions.scalars import POLARITY_SCALE, polarity_units
-from reliefgrid.functions.text import clean_text, strip_possessive, tokens, topic_words
+from reliefgrid.functions.text import WORD, clean_text, strip_possessive, tokens, topic_words
 from reliefgrid.operators.joins import lookup_join
 from reliefgrid.session import cut
 
@@ -33,19 +33,10 @@ def phrase_table(synonyms: Mapping[str, Iterable[str]]) -> dict[str, str]:
             for ends in itertools.product(("", "s"), repeat=len(words)):
                 table.setdefault(" ".join(w + e for w, e in zip(words, ends)), canonical)
     if len(table) > MAX_INLINE_PHRASES:
-        raise ValueError("phrase list too large to inline; tag it with tag_places")
+        raise ValueError("phrase list too large to inline; use tag_disasters_joined")
     return table
 
 
-def phrases_from(taxonomy: DataFrame) -> dict[str, str]:
-    """Phrase table from ``(canonical, synonym)`` rows; the dimension must respect the bound."""
-    rows = taxonomy.orderBy("canonical", "synonym").limit(MAX_INLINE_PHRASES + 1).collect()
-    grouped: dict[str, list[str]] = {}
-    for row in rows:
-        grouped.setdefault(row["canonical"], []).append(row["synonym"])
-    return phrase_table(grouped)
-
-
 def disaster_names(cleaned: Column | str, phrases: Mapping[str, str]) -> Column:
     """Canonical names of the phrases in a cleaned text, in text order, each once.
 
@@ -84,6 +75,55 @@ def tag_disasters(posts: DataFrame, phrases: Mapping[str, str], cleaned: str = "
     return posts.withColumn("disasters", disaster_names(cleaned, phrases))
 
 
+def taxonomy_phrases(taxonomy: DataFrame) -> DataFrame:
+    """``(canonical, stem, phrase)``, one row per phrase, with its first name, of ``(canonical, synonym)`` rows.
+
+    ``phrase`` holds the words as ``phrase_table`` cuts them; ``stem`` joins them without any
+    final ``s``, so that a phrase and its plurals meet under one key.
+    """
+    words = F.filter(F.split(F.lower(F.regexp_replace("synonym", rf"[^{WORD}]", " ")), " +"), lambda w: w != "")
+    rows = taxonomy.select("canonical", words.alias("phrase")).where(F.size("phrase") > 0)
+    return rows.groupBy(_stem(F.col("phrase")).alias("stem"), "phrase").agg(F.min("canonical").alias("canonical"))
+
+
+def _stem(words: Column) -> Column:
+    return F.array_join(F.transform(words, lambda w: F.rtrim(w, F.lit("s"))), " ")
+
+
+def tag_disasters_joined(posts: DataFrame, taxonomy: DataFrame, key: str, cleaned: str = "cleaned") -> DataFrame:
+    """Add ``disasters`` from ``(canonical, synonym)`` rows of any number and length; ``key`` names each post.
+
+    Only words that open some phrase become rows. They meet the phrases by stem, then each word
+    must be that of the phrase or its plural. Of names that share a phrase the first in order
+    counts. The tags are those that ``tag_disasters`` gives for a small taxonomy.
+    """
+    phrases = cut(taxonomy_phrases(taxonomy))
+    head = F.rtrim(F.get("phrase", F.lit(0)), F.lit("s"))
+    heads = phrases.groupBy(head.alias("head")).agg(
+        F.collect_set(F.size("phrase")).alias("_lengths"))
+    longest = phrases.agg(F.coalesce(F.max(F.size("phrase")), F.lit(1))).first()[0]
+    words = posts.select(key, F.transform(tokens(cleaned), F.lower).alias("_words"))
+    opening = words.select(key, "_words", F.posexplode("_words").alias("_at", "_word")).select(
+        key, (F.col("_at") + 1).alias("start"), F.slice("_words", F.col("_at") + 1, F.lit(longest)).alias("_tail"),
+        F.rtrim("_word", F.lit("s")).alias("head"),
+    )
+    runs = (
+        lookup_join(opening, heads, "head", "inner")
+        .select(key, "start", "_tail", F.explode("_lengths").alias("len"))
+        .where(F.col("len") <= F.size("_tail"))
+        .select(key, "start", "len", F.slice("_tail", F.lit(1), F.col("len")).alias("_run"))
+        .withColumn("stem", _stem(F.col("_run")))
+    )
+    fits = F.forall(F.zip_with("_run", "phrase", lambda t, w: (t == w) | (t == F.concat(w, F.lit("s")))), lambda x: x)
+    named = lookup_join(runs, phrases, "stem", "inner").where((F.size("phrase") == F.col("len")) & fits)
+    spans = named.groupBy(key, "start", "len").agg(F.min("canonical").alias("name")).groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("start", "len", "name"))).alias("_spans"))
+    kept = F.transform(choose_spans("_spans", longest), lambda s: s["name"])
+    tagged = spans.select(key, F.array_distinct(kept).alias("disasters"))
+    none = F.array().cast("array<string>")
+    return posts.join(tagged, key, "left").withColumn("disasters", F.coalesce("disasters", none))
+
+
 def place_names(gazetteer: DataFrame) -> DataFrame:
     """Distinct normalised names and alternates with their length in words."""
     every = F.concat(

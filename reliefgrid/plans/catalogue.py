@@ -467,6 +467,14 @@ def tag_disasters(spark, sf):
     return tagged.select("post_id", joined("disasters").alias("disasters"))
 
 
+@query
+def tag_disasters_joined(spark, sf):
+    rows = [(name, phrase) for name, phrases in b.DOC_TAXONOMY.items() for phrase in phrases]
+    taxonomy = spark.createDataFrame(rows, "canonical string, synonym string")
+    tagged = tagging.tag_disasters_joined(cleaned_posts(spark, sf), taxonomy, "post_id")
+    return tagged.select("post_id", joined("disasters").alias("disasters"))
+
+
 @query
 def tag_places(spark, sf):
     names = tagging.place_names(b.doc_gazetteer(spark, sf))

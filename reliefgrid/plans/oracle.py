@@ -672,6 +672,7 @@ FROM mention_rows m LEFT JOIN stated t ON t.post_id = m.post_id AND t.k = 1"""
 ORACLE["tag_disasters"] = with_(CLEANED, DISASTERS) + (
     "SELECT worded.id AS post_id, coalesce(disasters, '') AS disasters FROM worded LEFT JOIN disasters USING (id)"
 )
+ORACLE["tag_disasters_joined"] = ORACLE["tag_disasters"]
 ORACLE["tag_places"] = with_(CLEANED, DOC_GAZ, PLACES) + "SELECT id AS post_id, locations FROM locations"
 ORACLE["pred_lists"] = with_(CLEANED, DOC_GAZ, PLACES) + """
 SELECT worded.id, cleaned AS text, count(mention) AS n, coalesce(string_agg(mention, '|' ORDER BY p), '') AS locations

@@ -14,7 +14,7 @@ from reliefgrid.functions.text import clean_text
 from reliefgrid.operators import counts, posts as post_ops
 from reliefgrid.operators.places import RESOLVED_FIELDS, collect_places, resolve_all
 from reliefgrid.operators.tagging import disaster_names, lexicon_scores, place_names, tag_disasters, tag_places
-from reliefgrid.session import cut, spread
+from reliefgrid.session import cut
 
 
 @dataclass
@@ -84,7 +84,7 @@ def filtered_posts(
     so copies share it. What is left is written out once, as several branches read it.
     """
     tagged = naming_disaster(post_ops.filter_nonempty(posts), dicts.phrases)
-    named = spread(cut(post_ops.dedup_text(tagged, order or [key])), key)
+    named = cut(post_ops.dedup_text(tagged, order or [key]))
 
     places = cut(tag_places(named, dicts.names, key, dicts.max_words))
     scores = lexicon_scores(named.join(places, key, "left_semi"), dicts.lexicon, key)

@@ -57,6 +57,43 @@ def test_phrase_rules(spark):
     assert got == texts
 
 
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_joined_tags_of_a_large_taxonomy(spark, broadcast):
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    names = [(f"N{i % 9}", f"word{i} rising") for i in range(20_000)]
+    names += [("B", "shared"), ("A", "shared"), ("Long", long), ("Short", "two"), ("Gas", "gas"), ("Wide", "storm-surge")]
+    names += [(f"C{i:05d}", "common") for i in range(6_000)]
+    texts = {
+        "word17 rising and words17 risings": ["N8"],
+        "Word18 risings": ["N0"],
+        "shared shareds common": ["A", "C00000"],
+        long: ["Long"],
+        long.replace("five", "fives"): ["Long"],
+        "one two": ["Short"],
+        "ga": [],
+        "gass gas": ["Gas"],
+        "storms surge": ["Wide"],
+        "storm, surge": [],
+        "": [],
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("cleaned", clean_text("text"))
+    taxonomy = spark.createDataFrame(names, "canonical string, synonym string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = {r["text"]: r["disasters"] for r in tagging.tag_disasters_joined(rows, taxonomy, "id").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == texts
+
+
+def test_joined_tags_agree_with_inline_ones(spark):
+    taxonomy = spark.createDataFrame([(n, w) for n, ws in DISASTER_SYNONYMS.items() for w in ws], "canonical string, synonym string")
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SMOKE)], "id int, text string").withColumn("cleaned", clean_text("text"))
+    inline = tagging.tag_disasters(rows, tagging.phrase_table(DISASTER_SYNONYMS)).collect()
+    assert sorted(inline) == sorted(tagging.tag_disasters_joined(rows, taxonomy, "id").select(rows.columns + ["disasters"]).collect())
+
+
 @pytest.mark.parametrize("broadcast", ["10MB", "-1"])
 def test_filtered_posts(spark, broadcast):
     key = "spark.sql.autoBroadcastJoinThreshold"
