@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from reliefgrid.llm.textbytes import LOWER, slices, text_bytes
 from reliefgrid.llm.toxicity import _Adam
+from reliefgrid.session import cut
 
 WINDOW = 256
 DIM = 8
@@ -139,7 +140,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     table without labelled texts gives no model.
     """
     known = docs.where(F.col(lang_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"))
+    # Written out, its known small size lets Spark broadcast it, so that no text moves by its language.
+    counts = cut(known.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n")))
     # A hash of the id decides, at a rate that gives each language its share; nothing is sorted.
     share = F.pmod(F.xxhash64(F.lit(5), id_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
     middle = F.greatest(F.lit(1), F.floor((F.length(text_col) - limit) / 2)).cast("int")
