@@ -2,8 +2,8 @@
 
 Every version of every text is addressed by the SHA-256 of its content. The ledger keeps which
 blob was scanned under which version of which rule, and what was found. A run scans only the
-pairs that the ledger lacks, one text for each blob however many paths hold it, and findings are
-joined back to all paths.
+pairs that the ledger lacks, the texts of one id for each blob however many paths hold it, and
+findings are joined back to all paths.
 """
 
 from __future__ import annotations
@@ -34,10 +34,11 @@ class Rule:
     needs: tuple[str, ...] = ()
 
 
+# Under version 1 ledgers may hold wrong places of texts in repeated rows, so those are scanned again.
 RULES = (
-    Rule("assign", "1", ASSIGN, 2, 6, (":", "=")),
-    Rule("access", "1", ACCESS, 0, 20, ("AKIA",)),
-    Rule("hex", "1", HEX, 0, 24),
+    Rule("assign", "1.1", ASSIGN, 2, 6, (":", "=")),
+    Rule("access", "1.1", ACCESS, 0, 20, ("AKIA",)),
+    Rule("hex", "1.1", HEX, 0, 24),
 )
 _SCANS = "blob binary, kind string, version string, run string"
 _FOUND = "blob binary, kind string, version string, run string, begin long, end long"
@@ -80,8 +81,9 @@ def _matches(todo: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     ]), lambda x: F.size(x["found"]) > 0)
     kinds = raw.select("blob", F.explode(each).alias("k")).select(
         "blob", "k.kind", F.posexplode(F.arrays_zip("k.found", "k.pieces")).alias("i", "m"))
+    # Repeated rows of a blob give the same matches; each counts once, so that the sum below adds no peers.
     kinds = kinds.where(F.col("m.found").isNotNull()).select(
-        "blob", "kind", "i", F.col("m.found").alias("found"), F.length("m.pieces").cast("long").alias("gap"), F.length("m.found").cast("long").alias("size"))
+        "blob", "kind", "i", F.col("m.found").alias("found"), F.length("m.pieces").cast("long").alias("gap"), F.length("m.found").cast("long").alias("size")).distinct()
     before = Window.partitionBy("blob", "kind").orderBy("i")
     placed = kinds.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before)).withColumn("begin", F.col("end") - F.col("size"))
     fine = F.lit(False)
@@ -111,7 +113,7 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col:
     todo = texts.join(unseen, ["blob", "key"]).select("blob", "text", "kinds")
     run = uuid.uuid4().hex
     versions = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)])
-    new = _matches(todo, rules).distinct()
+    new = _matches(todo, rules)
     new.select("blob", "kind", versions[F.col("kind")].alias("version"), F.lit(run).alias("run"), "begin", "end").write.mode("append").parquet(f"{ledger}/found")
     unseen.select("blob", F.explode("kinds").alias("kind")).select(
         "blob", "kind", versions[F.col("kind")].alias("version"), F.lit(run).alias("run")).write.mode("append").parquet(f"{ledger}/scans")
