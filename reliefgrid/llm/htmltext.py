@@ -26,11 +26,14 @@ from reliefgrid.llm.textbytes import slices
 SAMPLE = 400
 BUCKETS = 1 << 12
 
-# Elements that HTML shows as blocks, has no text of its own in, or leaves open.
+# Elements that HTML shows as blocks, reads raw, keeps in its head or leaves open; tags that end an open <svg>.
 BLOCKS = frozenset("""html body article section main nav header footer aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd
     table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset details summary address hr
     title head option select label button legend center dialog menu""".split())
-SILENT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "head")
+RAW = frozenset("script style noscript iframe textarea".split())
+HEAD = frozenset("html head title base basefont bgsound link meta template noframes".split()) | RAW - {"iframe", "textarea"}
+INLINE = frozenset("b big br code em embed i img nobr s small span strong strike sub sup tt u var ruby".split())
+ISLANDS = frozenset("foreignobject desc title".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TELLING = frozenset("article main".split())
@@ -40,8 +43,9 @@ _APART_WORDS = re.compile(
     r"comments?|disqus|respon[ds]\w*|related|recommend\w*|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|pager|pagination|widget|login|search|tags?)(?:[^a-z]|$)")
 _CONTENT_WORDS = re.compile(r"(?:^|[^a-z])(?:article|content|main|post|entry|story|body|text)(?:[^a-z]|$)")
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(SILENT) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I)
+_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in (*RAW, "title")}
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
 
@@ -64,10 +68,16 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    """A forgiving reading: what is never closed ends with its parent, what was never opened is ignored."""
+    """A forgiving reading: what is never closed ends with its parent, what was never opened is ignored.
+
+    Scripts and other raw elements, <template>, <svg> and the page's <head> show no text.
+    """
     page, stack = Page(), [0]
     pieces: list[str] = []
     linked, in_link = 0, False
+    # Open tags from the one that shows no text on; raw tags that are closed nowhere in the rest.
+    hidden: list[str] = []
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal pieces, linked
@@ -77,23 +87,73 @@ def parse(source: str) -> Page:
                 page.add(stack[-1], "#text", "", text, min(linked, len(text)))
         pieces, linked = [], 0
 
+    def read(text: str) -> None:
+        nonlocal linked
+        if hidden == ["head"] and not text.isspace():
+            hidden.clear()
+        if not hidden:
+            pieces.append(text)
+            linked += len(text) if in_link else 0
+
+    def skipped(tag: str, at: int) -> int | None:
+        """The place behind the closing tag, if there is one."""
+        if tag in endless:
+            return None
+        end = _CLOSE[tag].search(source, at)
+        if end is None:
+            endless.add(tag)
+        return end and end.end()
+
     at = 0
-    for m in _TOKEN.finditer(source):
+    while m := _TOKEN.search(source, at):
         if m.start() > at:
-            pieces.append(source[at:m.start()])
-            linked += (m.start() - at) if in_link else 0
+            read(source[at:m.start()])
         at = m.end()
-        tag = m[3]
+        tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
+        shut = m[3].endswith("/")
+        if m[1]:
+            if tag in hidden:
+                del hidden[len(hidden) - 1 - hidden[::-1].index(tag):]
+                continue
+            if hidden:
+                # A closing tag of what is open around it ends a head or drawing that is still open.
+                outer = any(page.tag[i] == tag for i in stack) if tag in BLOCKS else (tag in INLINE or tag == "a" and in_link)
+                if hidden[0] == "template" or not outer:
+                    continue
+                hidden.clear()
+        else:
+            if hidden == ["head", "title"]:
+                hidden.pop()
+            if hidden == ["head"] and tag not in HEAD:
+                hidden.clear()
+            if hidden and hidden[0] == "svg" and not ISLANDS & set(hidden) and (tag in BLOCKS and tag not in ISLANDS or tag in INLINE):
+                hidden.clear()
+            if tag in RAW or tag == "title" and hidden == ["head"]:
+                end = skipped(tag, at)
+                if end is not None:
+                    at = end if not (shut and "svg" in hidden) else at
+                elif tag == "title":
+                    hidden.append(tag)
+                elif not shut:
+                    at = len(source)
+                continue
+            if tag == "template" or (tag == "svg" and not shut) or (tag == "head" and not hidden):
+                hidden.append(tag)
+                continue
+            if hidden:
+                if hidden[0] == "svg" and not shut and tag not in EMPTY and (tag in BLOCKS or tag in INLINE or tag in ISLANDS or tag == "a"):
+                    hidden.append(tag)
+                continue
         if tag == "a":
-            in_link = not m[2]
+            in_link = not m[1]
         if tag == "br":
             pieces.append(" ")
         if tag not in BLOCKS:
             continue
-        if m[2]:
+        if m[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if page.tag[stack[i]] == tag:
                     flush()
@@ -103,12 +163,12 @@ def parse(source: str) -> Page:
         flush()
         if page.tag[stack[-1]] == "p" or (tag in CLOSES and page.tag[stack[-1]] in CLOSES[tag]):
             stack.pop()
-        names = " ".join(x.strip("\"'") for _, x in _NAMED.findall(m[4])).lower() if m[4] else ""
+        names = " ".join(x.strip("\"'") for _, x in _NAMED.findall(m[3])).lower() if m[3] else ""
         node = page.add(stack[-1], tag, names)
         if tag not in EMPTY:
             stack.append(node)
     if at < len(source):
-        pieces.append(source[at:])
+        read(source[at:])
     flush()
     return page
 

@@ -274,6 +274,33 @@ def test_main_text():
     assert htmltext.main_text(model, [page, "", "plain"])[:2] == ["Head & more\n\nFirst part, with bold.\n\nSecond <part> here.", ""]
 
 
+@pytest.mark.parametrize("source, runs", [
+    ("<article><p>one <svg class=i /> two</p><p>three</p></article>", ["one two", "three"]),
+    ("<head><title>t</title><body><article><p>x</p></article>", ["x"]),
+    ("<head><title>t</title><p>x</p>", ["x"]),
+    ("<head><title>t<meta a=b><article><p>x</p></article>", ["x"]),
+    ("<head><script>x</script><noscript><p>no</p></noscript></head><body>y", ["y"]),
+    ("<p>a <math><mi>x</mi><mo>+</mo></math> b <math/> c</p>", ["a x+ b c"]),
+    ("<p>a <svg><path d='M'/><title>i</title><text>no</text></svg> b", ["a b"]),
+    ("<p>a <svg><path> <p>b <svg>no</svg> c", ["a", "b c"]),
+    ("<a href=x>k <svg><g></a> b", ["k b"]),
+    ("<svg><style/><path/></svg>text", ["text"]),
+    ("<div>a <svg><foreignObject><div>h</div></foreignObject></svg> b</div> c", ["a b", "c"]),
+    ("<div><template><div>x</div></div><template>y</template>z</template>v</div>w", ["v", "w"]),
+    ("<p>a<script>if(a<b)'</p>'</script>b<textarea><p>no</textarea> c<object data=x>d", ["ab cd"]),
+    ("<p>a<svg-icon>b</svg-icon><iframe src=x /> c", ["ab c"]),
+])
+def test_no_text_is_lost_behind_silent_tags(source, runs):
+    assert [t for t in htmltext.parse(source).text if t] == runs
+
+
+def test_main_text_of_pages_without_head_end_or_with_icons():
+    page = ("<head><title>t</title><body><nav><ul><li><a href=x>Home</a></ul></nav><article><h1>Head</h1><p>First <svg class=i /> part, here.</p>"
+            "<p>With <math><mi>x</mi></math> in it.</p></article><footer>us</footer>")
+    model = htmltext.fit([page.replace("First", f"Word{i} and") for i in range(20)])
+    assert htmltext.main_text(model, [page]) == ["Head\n\nFirst part, here.\n\nWith x in it."]
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", None, "a"), (2, None, "<article><p>Some text, here.</p></article>", "b")], "page_id long, url string, html string, text string")
     found = {r["page_id"]: (r["text"], r["n_chars"]) for r in htmltext.extract(pages, htmltext.train(pages)).collect()}
