@@ -39,8 +39,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 TELLING = frozenset("article main".split())
 APART = frozenset("nav header footer aside form menu button select dialog".split())
 _APART_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|social|share|sharing|"
-    r"comments?|disqus|respon[ds]\w*|related|recommend\w*|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|pager|pagination|widget|login|search|tags?)(?:[^a-z]|$)")
+    r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|popup|modal|newsletter|subscribe|social|share|sharing|"
+    r"comments?|disqus|respond|responses?|recommend\w*|sidebar|menu|nav\w*|breadcrumbs?|footer|header|masthead|pager|pagination|widget|login)(?:[^a-z]|$)")
+# Names that articles use too: no label and no first weight, training alone weighs them.
+_UNSURE_WORDS = re.compile(r"(?:^|[^a-z])(?:notice|related|side|search|tags?)(?:[^a-z]|$)")
 _CONTENT_WORDS = re.compile(r"(?:^|[^a-z])(?:article|content|main|post|entry|story|body|text)(?:[^a-z]|$)")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
@@ -212,6 +214,8 @@ def signs(page: Page, hide: bool = False) -> list[list[int]]:
                     own.append("apart-name")
                 elif _CONTENT_WORDS.search(page.names[i]):
                     own.append("content-name")
+                if _UNSURE_WORDS.search(page.names[i]):
+                    own.append("unsure-name")
         out.append([_number(x) for x in own])
     return out
 

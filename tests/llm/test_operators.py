@@ -301,6 +301,17 @@ def test_main_text_of_pages_without_head_end_or_with_icons():
     assert htmltext.main_text(model, [page]) == ["Head\n\nFirst part, here.\n\nWith x in it."]
 
 
+@pytest.mark.parametrize("name", ["table-responsive", "img-responsive", "responsive", "side-by-side", "search-results", "tags", "notice", "related"])
+def test_names_that_articles_use_too_are_kept(name):
+    page = (f"<html><body><div class=sidebar><p>Other things, go here.</p></div><article><h1>Head</h1><p>First part, here.</p><div class='{name}'><table><tr><td>One cell.</td>"
+            "</tr></table></div><div id=respond><p>Write to us, now.</p></div></article></body></html>")
+    inside = htmltext.parse(page)
+    labels = dict(zip(inside.text, htmltext.marked(inside)))
+    assert labels["One cell."] == labels["First part, here."] == 1 and labels["Write to us, now."] == labels["Other things, go here."] == 0
+    model = htmltext.fit([page.replace("First", f"Word{i} and") for i in range(20)])
+    assert htmltext.main_text(model, [page]) == ["Head\n\nFirst part, here.\n\nOne cell."]
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", None, "a"), (2, None, "<article><p>Some text, here.</p></article>", "b")], "page_id long, url string, html string, text string")
     found = {r["page_id"]: (r["text"], r["n_chars"]) for r in htmltext.extract(pages, htmltext.train(pages)).collect()}
