@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reliefgrid.session import cut
+
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Pieces of a group, about: large enough that bins left open at its end hardly count.
 GROUP = 4096
@@ -64,8 +66,9 @@ def pack(docs: DataFrame, id_col: str, length: Column, capacities: tuple[int, ..
 
     A document longer than the largest capacity becomes full pieces of that length and a rest;
     nothing is dropped or cut off. Lengths that are null or not positive are empty pieces with
-    no bin. Bin ids are unique over all groups. Equal lengths are packed in order of ids; rows of
-    a repeated id are packed each. Further columns are ignored; an empty table gives no rows.
+    no bin. Bin ids are unique over all groups. Equal lengths of a group are packed in order of ids;
+    rows of a repeated id are packed each. Which pieces share a group follows from how Spark
+    splits the rows. Further columns are ignored; an empty table gives no rows.
     """
     largest = max(capacities)
     capacities = tuple(sorted(capacities))
@@ -73,13 +76,13 @@ def pack(docs: DataFrame, id_col: str, length: Column, capacities: tuple[int, ..
     n_pieces = F.greatest(F.ceil(F.col("total") / largest), F.lit(1))
     pieces = rows.withColumn("n_pieces", n_pieces).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_pieces") - 1))).select(
         "id", "piece", "n_pieces", F.least(F.lit(largest), F.col("total") - F.col("piece") * largest).alias("length"))
-    return _packed(pieces, rows.select(n_pieces.alias("n")), capacities, group_size)
+    # Equal rows differ by their numbers alone; those are written out, so that all retries see the same.
+    return _packed(cut(pieces.withColumn("row", F.monotonically_increasing_id())), capacities, group_size)
 
 
-def _packed(pieces: DataFrame, counts: DataFrame, capacities: tuple[int, ...], group_size: int) -> DataFrame:
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    groups = max(1, math.ceil(total / group_size))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("id", "piece", "length"), F.lit(groups)))
+def _packed(pieces: DataFrame, capacities: tuple[int, ...], group_size: int) -> DataFrame:
+    groups = max(1, math.ceil(pieces.count() / group_size))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups))).drop("row")
 
     def fill(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending")])

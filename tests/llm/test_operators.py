@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -357,6 +358,19 @@ def test_packing(spark):
     assert [r[0] for r in spark.createDataFrame([("a  b\nc",), (None,), ("",)], "t string").select(packing.word_count(F.col("t"))).collect()] == [4, 1, 1]
 
 
+def test_packing_of_equal_rows(spark):
+    rows = [(None, 100)] * 2000 + [(7, 300)] * 1000 + [(i, 50) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, size long")
+    found = packing.pack(docs, "doc_id", F.col("size"), group_size=64).collect()
+    assert sorted((r["id"] or -1, r["length"]) for r in found) == sorted((i or -1, n) for i, n in rows)
+    groups = Counter(r["bin_id"] >> 32 for r in found)
+    assert max(groups.values()) <= 2 * 64
+    bins = {}
+    for r in found:
+        bins.setdefault(r["bin_id"], []).append((r["place"], r["length"]))
+    assert all(a + n == b for own in map(sorted, bins.values()) for (a, n), (b, _) in zip(own, own[1:]))
+
+
 def test_shingles_of_null_rows():
     found = list(shingle_sets(pa.array(["a b", None, "", "a b c d e f"]), 5))
     assert [len(x) for x in found] == [1, 0, 0, 2]
