@@ -7,6 +7,7 @@ and its windows' log-probabilities are averaged by the bytes they hold.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -115,28 +116,34 @@ def _pass(model: Model, windows: np.ndarray, labels: np.ndarray) -> dict[str, np
     return grads
 
 
-def _draws(texts: list[str], labels: list[int], seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of random place and length of each text, short ones among them."""
-    random = np.random.default_rng(seed)
-    rows, own = [], []
-    for text, label in zip(texts, labels):
-        data = np.frombuffer(text.encode(), np.uint8)
-        if not len(data):
-            continue
-        for _ in range(DRAWS):
-            size = int(min(len(data), WINDOW, random.choice([12, 24, 48, 96, WINDOW, WINDOW])))
-            begin = int(random.integers(0, len(data) - size + 1))
-            row = np.zeros(WINDOW, np.uint8)
-            row[:size] = LOWER[data[begin:begin + size]]
-            rows.append(row)
-            own.append(label)
-    return np.array(rows, np.uint8).reshape(-1, WINDOW), np.array(own, np.int64)
-
-
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, limit: int = 8192) -> Model | None:
+def _draws(text: str) -> list[bytes]:
+    """Windows of random place and length of a whole text, short ones among them; the same for the same text."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    random = np.random.default_rng(zlib.crc32(data))
+    out = []
+    for _ in range(DRAWS if len(data) else 0):
+        size = int(min(len(data), WINDOW, random.choice([12, 24, 48, 96, WINDOW, WINDOW])))
+        begin = int(random.integers(0, len(data) - size + 1))
+        out.append(data[begin:begin + size].tobytes())
+    return out
+
+
+def _drawn(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1)
+        for begin, end in slices(texts):
+            langs, windows = [], []
+            for lang, text in zip(batch.column(0).slice(begin, end - begin).to_pylist(), texts.slice(begin, end - begin).to_pylist()):
+                own = _draws(text or "")
+                langs += [lang] * len(own)
+                windows += own
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(windows, pa.binary())], ["lang", "window"])
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model | None:
     """Fits on at most ``sample`` texts of each language, about, chosen by a hash of ids.
 
-    Windows are drawn from a stretch of ``limit`` characters in the middle of a training text. A
+    ``DRAWS`` windows are drawn from anywhere in each of these texts; the driver gets only them. A
     table without labelled texts gives no model.
     """
     known = docs.where(F.col(lang_col).isNotNull())
@@ -144,17 +151,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     counts = cut(known.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n")))
     # A hash of the id decides, at a rate that gives each language its share; nothing is sorted.
     share = F.pmod(F.xxhash64(F.lit(5), id_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    middle = F.greatest(F.lit(1), F.floor((F.length(text_col) - limit) / 2)).cast("int")
     rows = known.join(counts, F.col(lang_col) == F.col("_lang")).where(share * F.col("_n") < sample)
-    table = (
-        rows.select(F.col("_lang").alias("lang"), F.substring(F.col(text_col), middle, F.lit(limit)).alias("text")).where("length(text) > 0")
-        .limit(2 * sample * max(1, counts.count())).toPandas().sort_values(["lang", "text"])
-    )
-    if table.empty:
+    drawn = rows.select(F.col("_lang").alias("lang"), F.col(text_col).alias("text")).mapInArrow(_drawn, "lang string, window binary")
+    found = sorted((r[0], bytes(r[1])) for r in drawn.limit(2 * DRAWS * sample * max(1, counts.count())).collect())
+    if not found:
         return None
-    languages = sorted(table["lang"].unique().tolist())
-    windows, labels = _draws(table["text"].tolist(), [languages.index(x) for x in table["lang"]])
-    return fit(windows, labels, languages)
+    languages = sorted({lang for lang, _ in found})
+    windows = np.zeros((len(found), WINDOW), np.uint8)
+    for row, (_, window) in zip(windows, found):
+        row[:len(window)] = LOWER[np.frombuffer(window, np.uint8)]
+    return fit(windows, np.array([languages.index(lang) for lang, _ in found], np.int64), languages)
 
 
 def _predict(batches, model) -> Iterator[pa.RecordBatch]:

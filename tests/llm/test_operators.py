@@ -334,6 +334,19 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, None).collect()} == {"und"}
 
 
+def test_language_learns_from_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda windows, labels, languages: seen.append((windows, labels, languages)))
+    text = "a" * 20_000 + "b" * 10_000 + "c" * 20_000
+    docs = spark.createDataFrame([(i, text + "d" * i, "xx") for i in range(200)] + [(900, "", "yy"), (901, None, "yy")], "doc_id long, text string, lang string")
+    langid.train(docs)
+    langid.train(docs.repartition(3))
+    (windows, labels, languages), again = seen
+    assert len(windows) == len(labels) == 200 * langid.DRAWS and languages == ["xx"] and (windows == again[0]).all()
+    first = [chr(w[0]) for w in windows]
+    assert all(0.1 < first.count(c) / len(first) < 0.5 for c in "abc")
+
+
 def test_packing(spark):
     make = random.Random(1)
     sizes = [make.choice([0, 1, 5, 300, 511, 512, 513, 5000, 8192, 8193, 30000]) for _ in range(300)]
