@@ -108,9 +108,33 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf: str) -> DataFrame:
+    from reliefgrid.llm.centroids import cluster
+
+    return cluster(_table(spark, sf, "embeddings")).drop("scans")
+
+
+def op12_pii_sanitisation(spark: SparkSession, sf: str) -> DataFrame:
+    from reliefgrid.llm.sanitise import KINDS, find
+
+    found = find(_table(spark, sf, "documents"))
+    listed = lambda own: F.array_join(F.transform(own, lambda s: F.concat_ws(":", s["kind"], s["begin"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(k.name) for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    from reliefgrid.llm.spelling import group_variants
+
+    return group_variants(_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_token_files, op4_exact_top_k, op5_secret_scans,
         op6_toxicity, op7_quality_classifier, op8_html_extraction, op9_language_id, op10_best_fit_packing,
+        op11_centroid_clustering, op12_pii_sanitisation, op13_spelling_variants,
     )
 }
