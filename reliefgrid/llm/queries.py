@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reliefgrid.session import scratch_path
 
-TOKENIZERS = "/opt/tokenizers"
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def reach(spark: SparkSession) -> None:
@@ -43,7 +43,7 @@ def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
     from reliefgrid.llm.tokenfiles import read_documents, write_token_files
 
     out = scratch_path(spark, "tokens")
-    write_token_files(_table(spark, sf, "documents"), out, f"{TOKENIZERS}/byte_bpe_50k.json")
+    write_token_files(_table(spark, sf, "documents"), out, VOCABULARY)
     return read_documents(spark, out, digest=True)
 
 

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from reliefgrid.llm.textbytes import slices
 
 BLOCK_IDS = 1 << 16
-#: Pieces of text whose ids a worker remembers; it starts over beyond that.
-MEMO = 800_000
+#: Pieces of text whose ids a worker remembers, and their characters; it starts over beyond either.
+MEMO, MEMO_CHARS = 800_000, 16_000_000
 
 
 def bit_width(vocabulary: int) -> int:
@@ -67,14 +67,15 @@ class Encoder:
 
     Byte-level BPE works on pieces that a single space between two other characters always
     separates, so a text is the pieces between its spaces, encoded one by one. Texts with other
-    white space around a space, and at their ends, are encoded whole.
+    white space around a space, and at their ends, are encoded whole, and so are texts with one of
+    the vocabulary's added tokens, which are found before a text is cut into pieces.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = [x.content for x in self.model.get_added_tokens_decoder().values()]
         vocabulary = self.model.get_vocab()
         #: Ids that begin with a space; in byte-level vocabularies that byte is written so.
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -82,7 +83,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.memo, self.flat, self.used = _Memo(), np.zeros(1 << 16, np.uint32), 0
+        self.memo, self.flat, self.used, self.chars = _Memo(), np.zeros(1 << 16, np.uint32), 0, 0
         self.begin, self.size, self.odd = (np.zeros(1 << 12, t) for t in (np.int64, np.int64, bool))
 
     def _learn(self, new: list) -> None:
@@ -92,6 +93,7 @@ class Encoder:
         tails = []
         for i, piece in enumerate(new):
             text = piece if isinstance(piece, str) else piece[0]
+            self.chars += len(text)
             if not text or text[0].isspace() or text[-1].isspace():
                 ids[i] = np.zeros(0, np.uint32)
             elif text is piece:
@@ -118,11 +120,14 @@ class Encoder:
         self.used += total
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO:
+        if len(self.memo) > MEMO or self.chars > MEMO_CHARS:
             self.clear()
         slots, new = [], self.memo.new
         number = self.memo.__getitem__
         for text in texts:
+            if any(x in text for x in self.added):
+                slots.append(None)
+                continue
             pieces = text.split(" ")
             pieces[0] = (pieces[0],)
             slots.append(np.fromiter(map(number, pieces), np.int64, len(pieces)))
@@ -131,7 +136,7 @@ class Encoder:
             new.clear()
         out = []
         for text, own in zip(texts, slots):
-            if self.odd[own].any():
+            if own is None or self.odd[own].any():
                 out.append(np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32))
                 continue
             sizes = self.size[own]
@@ -147,10 +152,16 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(name: str) -> Encoder:
+    """The encoder of a tokenizers file, or of one of the public vocabularies by its name."""
+    if name not in _ENCODERS:
+        path = name
+        if "/" not in name:
+            import public_tokenizers
+
+            path = public_tokenizers.path(name)
+        _ENCODERS[name] = Encoder(path)
+    return _ENCODERS[name]
 
 
 _BLOCK = pa.schema([
@@ -187,7 +198,8 @@ def _encode_blocks(batches, path: str, end_id: int) -> Iterator[pa.RecordBatch]:
 def write_token_files(docs: DataFrame, out: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text, appends ``end_id`` and writes blocks in ascending order of ids.
 
-    A null text is empty and has the end id alone. Rows without id come first; rows of a repeated
+    ``vocabulary`` is a path that every worker reaches, or the name of a public vocabulary, whose
+    place each worker asks for. A null text is empty and has the end id alone. Rows without id come first; rows of a repeated
     id follow each other in the order of a hash of their texts. Further columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
