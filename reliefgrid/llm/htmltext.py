@@ -11,7 +11,9 @@ other signs are learned too.
 from __future__ import annotations
 
 import html
+import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -44,8 +46,9 @@ _APART_WORDS = re.compile(
 # Names that articles use too: no label and no first weight, training alone weighs them.
 _UNSURE_WORDS = re.compile(r"(?:^|[^a-z])(?:notice|related|side|search|tags?)(?:[^a-z]|$)")
 _CONTENT_WORDS = re.compile(r"(?:^|[^a-z])(?:article|content|main|post|entry|story|body|text)(?:[^a-z]|$)")
+# A quote opens a value only behind "="; one that nothing closes is a character like others.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?|[^>=])*+)>|<[!?][^>]*>",
     re.S | re.I)
 _CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in (*RAW, "title")}
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -75,6 +78,8 @@ def parse(source: str) -> Page:
     Scripts and other raw elements, <template>, <svg> and the page's <head> show no text.
     """
     page, stack = Page(), [0]
+    # How many open elements have a tag.
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked, in_link = 0, False
     # Open tags from the one that shows no text on; raw tags that are closed nowhere in the rest.
@@ -122,7 +127,7 @@ def parse(source: str) -> Page:
                 continue
             if hidden:
                 # A closing tag of what is open around it ends a head or drawing that is still open.
-                outer = any(page.tag[i] == tag for i in stack) if tag in BLOCKS else (tag in INLINE or tag == "a" and in_link)
+                outer = opened[tag] > 0 if tag in BLOCKS else (tag in INLINE or tag == "a" and in_link)
                 if hidden[0] == "template" or not outer:
                     continue
                 hidden.clear()
@@ -156,19 +161,20 @@ def parse(source: str) -> Page:
         if tag not in BLOCKS:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[i]] == tag:
-                    flush()
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                flush()
+                while (ended := page.tag[stack.pop()]) != tag:
+                    opened[ended] -= 1
+                opened[tag] -= 1
             continue
         flush()
         if page.tag[stack[-1]] == "p" or (tag in CLOSES and page.tag[stack[-1]] in CLOSES[tag]):
-            stack.pop()
+            opened[page.tag[stack.pop()]] -= 1
         names = " ".join(x.strip("\"'") for _, x in _NAMED.findall(m[3])).lower() if m[3] else ""
         node = page.add(stack[-1], tag, names)
         if tag not in EMPTY:
             stack.append(node)
+            opened[tag] += 1
     if at < len(source):
         read(source[at:])
     flush()
@@ -209,7 +215,7 @@ def signs(page: Page, hide: bool = False) -> list[list[int]]:
                 if tag in APART:
                     own.append("apart")
             if page.names[i]:
-                own += [f"name:{x}" for x in page.names[i].split()[:8]]
+                own += [f"name:{x}" for x in page.names[i].split()]
                 if _APART_WORDS.search(page.names[i]):
                     own.append("apart-name")
                 elif _CONTENT_WORDS.search(page.names[i]):
@@ -331,11 +337,22 @@ def main_text(model: Model, sources: list[str]) -> list[str]:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Model:
-    """Fits on at most ``sample`` pages that name their article, chosen by a hash of their ids."""
+    """Fits on at most ``sample`` pages that name their article, chosen by a hash of id and page.
+
+    Repeated rows count once. The fit runs in one task over the sample; the driver gets the weights alone.
+    """
     names = F.col(html_col).rlike("(?i)<(article|main)[ >]")
-    chosen = pages.where(names).select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = pages.where(names).join(chosen, F.col(id_col) == F.col("_id")).select(html_col).limit(2 * sample).collect()
-    return fit(sorted(r[0] for r in rows))
+    rows = pages.where(names).select(F.xxhash64(id_col, html_col).alias("hash"), F.col(html_col).alias("html"))
+    chosen = rows.select("hash").distinct().orderBy("hash").limit(sample)
+    one = rows.join(chosen, "hash").groupBy("hash").agg(F.min("html").alias("html"))
+    found = one.select("html").repartition(1).mapInArrow(_fitted, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else fit([])
+
+
+def _fitted(batches) -> Iterator[pa.RecordBatch]:
+    """The model of all pages of a task, pickled."""
+    model = fit(sorted(x for batch in batches for x in batch.column(0).to_pylist()))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 def _extract(batches, model) -> Iterator[pa.RecordBatch]:
