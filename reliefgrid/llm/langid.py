@@ -141,19 +141,22 @@ def _drawn(batches) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model | None:
-    """Fits on at most ``sample`` texts of each language, about, chosen by a hash of ids.
+    """Fits on at most ``sample`` texts of each language, about, chosen by a hash of id and text.
 
-    ``DRAWS`` windows are drawn from anywhere in each of these texts; the driver gets only them. A
-    table without labelled texts gives no model.
+    ``DRAWS`` windows are drawn from anywhere in each of these texts; the driver gets only them.
+    Rows without id are chosen by their texts; repeated rows count once. A table without labelled
+    texts gives no model.
     """
     known = docs.where(F.col(lang_col).isNotNull())
     # Written out, its known small size lets Spark broadcast it, so that no text moves by its language.
     counts = cut(known.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n")))
-    # A hash of the id decides, at a rate that gives each language its share; nothing is sorted.
-    share = F.pmod(F.xxhash64(F.lit(5), id_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = known.join(counts, F.col(lang_col) == F.col("_lang")).where(share * F.col("_n") < sample)
-    drawn = rows.select(F.col("_lang").alias("lang"), F.col(text_col).alias("text")).mapInArrow(_drawn, "lang string, window binary")
-    found = sorted((r[0], bytes(r[1])) for r in drawn.limit(2 * DRAWS * sample * max(1, counts.count())).collect())
+    # A hash decides, at a rate that gives each language its share; nothing is sorted.
+    rows = known.select(F.xxhash64(F.lit(5), id_col, text_col).alias("_hash"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    share = F.pmod("_hash", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = rows.join(counts, F.col("lang") == F.col("_lang")).where(share * F.col("_n") < sample)
+    one = chosen.groupBy("lang", "_hash").agg(F.min("text").alias("text"))
+    drawn = one.select("lang", "text").mapInArrow(_drawn, "lang string, window binary")
+    found = sorted((r[0], bytes(r[1])) for r in drawn.collect())
     if not found:
         return None
     languages = sorted({lang for lang, _ in found})
