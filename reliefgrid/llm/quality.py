@@ -253,9 +253,16 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
     order = [F.xxhash64(F.lit(9), "_id"), "_id"]
     chosen = marks.orderBy(*order).limit(sample)
-    with_label = rows.join(chosen, F.col("id") == F.col("_id")).drop("_id").limit(2 * sample)
+    # Of rows with one id, the one with the smallest hash is fitted on.
+    columns = rows.columns
+
+    def one_each(picked: DataFrame, *label: str) -> DataFrame:
+        own = picked.groupBy("id", *label).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("own"))
+        return own.select("own.*", *label)
+
+    with_label = one_each(rows.join(chosen, F.col("id") == F.col("_id")), "label")
     others = rows.where("id is not null").select(F.col("id").alias("_id")).join(marks, "_id", "left_anti").orderBy(*order).limit(sample)
-    without = rows.join(others, F.col("id") == F.col("_id")).drop("_id").withColumn("label", F.lit(-1)).limit(2 * sample)
+    without = one_each(rows.join(others.distinct(), F.col("id") == F.col("_id"))).withColumn("label", F.lit(-1))
     table = with_label.unionByName(without).toPandas().sort_values(["label", "id"], kind="stable")
     if len(table):
         views = _views(table["source"].to_numpy(), table["lang"].to_numpy(), np.stack(table["features"].to_numpy()))
