@@ -6,13 +6,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 
 from reliefgrid.llm import decontaminate, htmltext, langid, packing, quality, secrets, sigtree, tokenfiles, topk, toxicity
 from reliefgrid.llm.components import components
 from reliefgrid.llm.ngram_join import ngram_jaccard_join
-from reliefgrid.llm.queries import TOKENIZERS
+from reliefgrid.llm.queries import VOCABULARY
 from reliefgrid.llm.textbytes import shingle_sets
 from reliefgrid.session import scratch_path
 from pyspark.sql import functions as F
@@ -172,10 +173,9 @@ def test_bit_packing_round_trip(width):
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    path = public_tokenizers.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    texts = [*_texts(4), "a  b", " lead", "tail ", "l1\nl2 \n x", "it's <|endoftext|> ünï 中文", None]
+    texts = [*_texts(4), "a  b", " lead", "tail ", "l1\nl2 \n x", "start <|endoftext|> end", "it's<|endoftext|>ünï 中文 <|endoftext", None]
     stream, expected = [], {}
     for i, t in enumerate(texts):
         ids = model.encode(t or "", add_special_tokens=False).ids + [0]
@@ -185,11 +185,40 @@ def test_token_files(spark):
     tokenfiles.write_token_files(_frame(spark, texts).repartition(3), out, path)
     assert {r[0]: tuple(r[1:]) for r in tokenfiles.read_documents(spark, out, digest=True).collect()} == expected
     assert tokenfiles.read_range(spark, out, 100, 500).tolist() == stream[100:600]
+    named = scratch_path(spark, "tokens")
+    tokenfiles.write_token_files(_frame(spark, texts), named, VOCABULARY)
+    assert {r[0]: tuple(r[1:]) for r in tokenfiles.read_documents(spark, named, digest=True).collect()} == expected
     empty = scratch_path(spark, "tokens")
     tokenfiles.write_token_files(_frame(spark, texts).limit(0), empty, path)
     assert tokenfiles.read_documents(spark, empty, digest=True).count() == 0
 
 
+def test_memory_of_pieces_is_bounded(monkeypatch):
+    """Long texts without spaces are forgotten before they pile up."""
+    monkeypatch.setattr(tokenfiles, "MEMO_CHARS", 10_000)
+    encoder = tokenfiles.Encoder(public_tokenizers.path(VOCABULARY))
+    for i in range(40):
+        encoder.encode([chr(0x4E00 + i) * 700, "two words"])
+        assert encoder.chars <= 11_000 and sum(map(len, encoder.memo)) <= 11_000
+
+
+def test_top_k_of_any_finite_size(spark, monkeypatch):
+    """Components beyond 31 and 63 bits, and scores that no long holds."""
+    monkeypatch.setattr(topk, "SHARD", 4)
+    monkeypatch.setattr(topk, "ROUND_BYTES", 64)
+    make = np.random.default_rng(4)
+    vectors = [[float(x) for x in make.normal(0, 1, 2)] for _ in range(20)] + [[5e8, 0.0], [-5e8, 1.0], [1e30, -1e30], [3e38, 3.0], [2.0**40, 2.0**40]]
+    vectors = [[float(x) for x in np.array(v, np.float32)] for v in vectors]
+    table = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    found = sorted(map(tuple, topk.exact_top_k(table, table.where("vec_id % 2 = 0"), 6).collect()))
+    scaled = [[int(np.floor(64 * x)) for x in v] for v in vectors]
+    expected = []
+    for q in range(0, 25, 2):
+        order = sorted((-sum(a * b for a, b in zip(scaled[q], scaled[v])), v) for v in range(25) if v != q)[:6]
+        expected += [(q, k + 1, v, -s if abs(s) < 1 << 63 else None) for k, (s, v) in enumerate(order)]
+    assert found == expected
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 16)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
@@ -295,6 +324,22 @@ def test_no_text_is_lost_behind_silent_tags(source, runs):
     assert [t for t in htmltext.parse(source).text if t] == runs
 
 
+@pytest.mark.parametrize("source, runs", [
+    ("<article><p title=it's>First text.</p><p>Don't go.</p><p>Third</p></article>", ["First text.", "Don't go.", "Third"]),
+    ('<p a"b c>One</p><p>"Two"</p>', ["One", '"Two"']),
+    ('<p>See <a title="x>link</a> here</p>', ["See link here"]),
+    ("<p data-x='a>b' title = \"c>d\" e=f>g>One</p>", ["g>One"]),
+    ("<p title=>One</p><p =>Two</p>", ["One", "Two"]),
+])
+def test_quotes_open_values_behind_an_equals_sign_only(source, runs):
+    assert [t for t in htmltext.parse(source).text if t is not None] == runs
+
+
+def test_deep_pages_take_time_in_proportion():
+    page = htmltext.parse("<div>" * 20_000 + "</p>" * 20_000 + "x" + "</div>" * 20_000)
+    assert page.text[-1] == "x" and max(page.depth) == 20_001
+
+
 def test_main_text_of_pages_without_head_end_or_with_icons():
     page = ("<head><title>t</title><body><nav><ul><li><a href=x>Home</a></ul></nav><article><h1>Head</h1><p>First <svg class=i /> part, here.</p>"
             "<p>With <math><mi>x</mi></math> in it.</p></article><footer>us</footer>")
