@@ -13,9 +13,16 @@ from reliefgrid.operators.posts import dedup_text
 from reliefgrid.plans.pipeline import Dictionaries, filtered_posts
 from reliefgrid.session import cut
 from reliefgrid.sources.snapshots import versions
+from reliefgrid.streaming.store import Store
 
 Batch = Callable[[DataFrame, int], None]
 
+PARTIALS = "country string, state string, disasters string, count long, polarity_units decimal(38,0), cities array<string>"
+POSTS = (
+    "author string, created_at string, uri string, text string, disasters array<string>, sentiment string, polarity double, "
+    "city string, state string, region string, country string, latitude double, longitude double, location string"
+)
+
 
 def read_feed(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
     """Stream of decoded JSON messages from a folder."""
@@ -71,7 +78,9 @@ def rows_sink(root: str) -> Batch:
 
 
 def read_rows(spark: SparkSession, root: str) -> DataFrame:
-    """All finished batches, with their number as ``batch``."""
+    """All finished batches, with their number as ``batch``; none before the first one."""
+    if not versions(spark, root, "batch"):
+        return spark.createDataFrame([], f"{PARTIALS}, batch int")
     paths = [f"{root}/batch={b}" for b in versions(spark, root, "batch")]
     return spark.read.option("basePath", root).parquet(*paths)
 
@@ -102,6 +111,36 @@ def live_sink(dicts: Dictionaries, posts_root: str, counts_root: str, key: str =
     return handle
 
 
+def live_store(spark: SparkSession, root: str) -> Store:
+    """The store of the live loop: posts and their counts, visible together."""
+    return Store(spark, root, {"posts": POSTS, "counts": PARTIALS})
+
+
+def live_batch(dicts: Dictionaries, store: Store, key: str = "uri") -> Batch:
+    """The live loop over the package's own feed, whose posts are known by their links.
+
+    A batch is tagged, resolved, stored and counted once; one log entry shows posts and counts.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        if store.holds(number):
+            return
+        rows = cut(filtered_posts(batch, dicts, key))
+        store.commit(number, {"posts": rows, "counts": counts.count_partials(counts.single_disaster(rows))})
+
+    return handle
+
+
+def live_counts(store: Store) -> DataFrame:
+    """Exact running counts with severity, from the finished batches of a store."""
+    return counts.severity(counts.finish_counts(counts.merge_partials(store.read("counts").drop("_batch"))))
+
+
+def fold_counts(store: Store) -> int | None:
+    """Adds the counts of the finished batches up, so that reading stays short."""
+    return store.fold("counts", counts.merge_partials)
+
+
 def compact(spark: SparkSession, root: str) -> int | None:
     """Fold the finished batches into a total, so that reading stays short in a long run."""
     done = versions(spark, root, "batch")
@@ -148,6 +187,6 @@ def dedup_batches(order: list[str], sink: Batch) -> Batch:
 
 
 def dedup_stream(stream: DataFrame, moment: str, delay: str) -> DataFrame:
-    """Copies of a text go across batches, within the watermark."""
-    timed = stream.withColumn(moment, F.col(moment).cast("timestamp"))
-    return timed.withWatermark(moment, delay).dropDuplicatesWithinWatermark(["text"])
+    """Copies of a text go across batches, within the watermark. State holds digests, no texts."""
+    timed = stream.withColumn(moment, F.col(moment).cast("timestamp")).withColumn("_digest", F.unhex(F.sha2("text", 256)))
+    return timed.withWatermark(moment, delay).dropDuplicatesWithinWatermark(["_digest"]).drop("_digest")
