@@ -64,39 +64,54 @@ def match_partial(gold: Column | str, pred: Column | str) -> Column:
     return F.aggregate(p, start, take, finish)
 
 
-def choose_spans(spans: Column | str, max_len: int) -> Column:
+# Items of a list's inner pieces: adding one copies no more than a piece.
+PIECE = 128
+
+
+def choose_spans(spans: Column | str) -> Column:
     """Longest spans first, then earliest, without overlaps; result in text order.
 
-    ``spans`` holds structs whose first fields are ``start`` and ``len``. Lengths are
-    handled from long to short, each by set difference against the covered starts, so the
-    work grows with the number of spans and not with its square.
+    ``spans`` holds structs whose first fields are ``start`` and ``len``, each pair once. Lengths
+    are handled from long to short. Starts that a longer span covers go by set difference; one
+    sweep over the rest takes each span that begins behind the last one taken. A sweep is linear in
+    the spans, and there is one for each length that occurs.
     """
 
     def choose(given: Column) -> Column:
+        none = F.filter(given, lambda s: F.lit(False))
+        pieces = F.filter(F.array(given), lambda x: F.lit(False))
+
         def add_length(kept: Column, n: Column) -> Column:
             covered = F.flatten(
                 F.transform(kept, lambda s: F.sequence(s["start"] - n + 1, s["start"] + s["len"] - 1))
             )
-            same = F.transform(F.filter(given, lambda s: s["len"] == n), lambda s: s["start"])
-            picked = F.aggregate(
-                F.sort_array(F.array_except(same, covered)),
-                F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("at")),
-                lambda acc, s: F.when(
-                    s >= acc["next"],
-                    F.struct((s + n).alias("next"), F.concat(acc["at"], F.array(s)).alias("at")),
-                ).otherwise(acc),
-                lambda acc: acc["at"],
-            )
-            return F.concat(
-                kept,
-                bind(
-                    picked,
-                    lambda at: F.filter(given, lambda s: (s["len"] == n) & F.array_contains(at, s["start"])),
-                ),
-            )
 
-        lengths = F.sequence(F.lit(max_len), F.lit(1), F.lit(-1))
-        chosen = F.aggregate(lengths, F.filter(given, lambda s: F.lit(False)), add_length)
+            def sweep(own: Column) -> Column:
+                free = F.array_except(F.transform(own, lambda s: s["start"]), covered)
+
+                def walk(open_starts: Column) -> Column:
+                    begin = F.struct(
+                        F.lit(0).alias("at"), F.lit(-1).alias("end"), pieces.alias("done"), none.alias("last"))
+
+                    def step(acc: Column, s: Column) -> Column:
+                        is_free = F.coalesce(F.get(open_starts, acc["at"]) == s["start"], F.lit(False))
+                        taken = is_free & (s["start"] > acc["end"])
+                        full = F.size(acc["last"]) >= PIECE
+                        done = F.when(taken & full, F.concat(acc["done"], F.array(acc["last"]))).otherwise(acc["done"])
+                        last = F.when(taken & full, F.array(s)).when(taken, F.concat(acc["last"], F.array(s))).otherwise(acc["last"])
+                        return F.struct(
+                            (acc["at"] + is_free.cast("int")).alias("at"),
+                            F.when(taken, s["start"] + n - 1).otherwise(acc["end"]).alias("end"),
+                            done.alias("done"), last.alias("last"))
+
+                    return F.aggregate(own, begin, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["last"]))
+
+                return bind(free, walk)
+
+            return F.concat(kept, bind(F.filter(given, lambda s: s["len"] == n), sweep))
+
+        lengths = F.reverse(F.array_sort(F.array_distinct(F.transform(given, lambda s: s["len"]))))
+        chosen = F.aggregate(lengths, none, add_length)
         return F.when(F.size(given) <= 1, given).otherwise(F.sort_array(chosen))
 
-    return bind(as_col(spans), choose)
+    return bind(F.sort_array(as_col(spans)), choose)

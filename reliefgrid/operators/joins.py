@@ -1,62 +1,16 @@
-"""Lookup joins that keep hot keys out of the shuffle."""
+"""Joins with tables that have one row for each key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# A key is hot from this share of all rows on, so there are at most 1 / share hot keys.
-HOT_SHARE = 1 / 1000
 
+def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join to a table with one row per key (``left`` or ``inner``); ``key`` comes as the left side has it.
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Spark's own size estimate lets it broadcast the frame.
-
-    Estimates of tables come from their files; anything unknown counts as too large.
-    """
-    conf = df.sparkSession.conf
-    limit = int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        conf.get("spark.sql.autoBroadcastJoinThreshold").replace("-1b", "0").replace("-1", "0")
-    ))
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return 0 < int(str(size)) <= limit
-
-
-def hot_keys(left: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding at least ``share`` of the rows, and the missing key: a bounded set."""
-    sizes = left.groupBy(key).agg(F.count("*").alias("_n"))
-    total = sizes.agg(F.sum("_n")).scalar()
-    return sizes.where((F.col("_n") >= total * F.lit(share)) | F.col(key).isNull()).select(key)
-
-
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    how: str = "left",
-    share: float = HOT_SHARE,
-) -> DataFrame:
-    """Join to a table with one row per key (``left`` or ``inner``).
-
-    A right side that Spark can broadcast by its size leaves the left side unshuffled. Beyond
-    that size, rows of hot keys meet the few matching right rows by broadcast, bounded by the share;
-    all others go through an ordinary join whose strategy Spark picks from measured sizes.
-    A key that fills a third of the left side therefore never lands in one task.
+    Spark's adaptive execution picks the strategy from measured sizes. Rows of a key that fills a
+    large share of the left side are split over tasks, as each part needs the one right row only.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
-    if fits_broadcast(right):
-        return left.join(right, key, how).select(left.columns + [c for c in right.columns if c != key])
-    hot = hot_keys(left, key, share).select(F.col(key).alias("_hot"))
-    named = right.withColumnRenamed(key, "_key")
-    columns = left.columns + [c for c in right.columns if c != key]
-    is_hot = F.col(key).eqNullSafe(F.col("_hot"))
-
-    hot_right = hot.join(named, F.col("_hot") == F.col("_key"), how).drop("_key")
-    near = left.join(F.broadcast(hot_right), is_hot, "inner").select(columns)
-    far = (
-        left.join(F.broadcast(hot), is_hot, "left_anti")
-        .join(named, F.col(key) == F.col("_key"), how)
-        .select(columns)
-    )
-    return near.unionByName(far)
+    return left.join(right, key, how).select(left.columns + [c for c in right.columns if c != key])

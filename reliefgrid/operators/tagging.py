@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reliefgrid.functions.columns import bind
 from reliefgrid.functions.matching import choose_spans
+from reliefgrid.functions.packed import make_dictionary, make_filter
 from reliefgrid.functions.scalars import POLARITY_SCALE, polarity_units
 from reliefgrid.functions.text import WORD, clean_text, strip_possessive, tokens, topic_words
 from reliefgrid.operators.joins import lookup_join
@@ -64,7 +65,7 @@ def disaster_names(cleaned: Column | str, phrases: Mapping[str, str]) -> Column:
         return F.concat(*[of_length(n) for n in sorted(by_len)])
 
     def names(words: Column) -> Column:
-        kept = bind(starts(words), lambda at: choose_spans(spans(words, at), max(by_len)))
+        kept = bind(starts(words), lambda at: choose_spans(spans(words, at)))
         return F.transform(kept, lambda s: F.element_at(canonical, gram(words, s["start"], s["len"])))
 
     return F.array_distinct(bind(F.transform(tokens(cleaned), F.lower), names))
@@ -90,35 +91,55 @@ def _stem(words: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.rtrim(w, F.lit("s"))), " ")
 
 
+# Words of a phrase that are looked for in every text; the rest of longer ones is checked where those stand.
+LEAD_WORDS = 16
+
+
 def tag_disasters_joined(posts: DataFrame, taxonomy: DataFrame, key: str, cleaned: str = "cleaned") -> DataFrame:
     """Add ``disasters`` from ``(canonical, synonym)`` rows of any number and length; ``key`` names each post.
 
-    Only words that open some phrase become rows. They meet the phrases by stem, then each word
-    must be that of the phrase or its plural. Of names that share a phrase the first in order
-    counts. The tags are those that ``tag_disasters`` gives for a small taxonomy.
+    Two filters of bounded size go through the texts inside the row: one of the words that open a
+    phrase, one of the phrases' leading words. Only runs that pass both become rows; they meet
+    the phrases by stem, then each word must be that of the phrase or its plural. A phrase of more
+    than ``LEAD_WORDS`` words looks at the rest of a text only where its leading words stand. Of
+    names that share a phrase the first in order counts. The tags are those that
+    ``tag_disasters`` gives for a small taxonomy.
     """
-    phrases = cut(taxonomy_phrases(taxonomy))
-    head = F.rtrim(F.get("phrase", F.lit(0)), F.lit("s"))
-    heads = phrases.groupBy(head.alias("head")).agg(
-        F.collect_set(F.size("phrase")).alias("_lengths"))
-    longest = phrases.agg(F.coalesce(F.max(F.size("phrase")), F.lit(1))).first()[0]
-    words = posts.select(key, F.transform(tokens(cleaned), F.lower).alias("_words"))
-    opening = words.select(key, "_words", F.posexplode("_words").alias("_at", "_word")).select(
-        key, (F.col("_at") + 1).alias("start"), F.slice("_words", F.col("_at") + 1, F.lit(longest)).alias("_tail"),
-        F.rtrim("_word", F.lit("s")).alias("head"),
-    )
-    runs = (
-        lookup_join(opening, heads, "head", "inner")
-        .select(key, "start", "_tail", F.explode("_lengths").alias("len"))
-        .where(F.col("len") <= F.size("_tail"))
-        .select(key, "start", "len", F.slice("_tail", F.lit(1), F.col("len")).alias("_run"))
-        .withColumn("stem", _stem(F.col("_run")))
-    )
-    fits = F.forall(F.zip_with("_run", "phrase", lambda t, w: (t == w) | (t == F.concat(w, F.lit("s")))), lambda x: x)
-    named = lookup_join(runs, phrases, "stem", "inner").where((F.size("phrase") == F.col("len")) & fits)
-    spans = named.groupBy(key, "start", "len").agg(F.min("canonical").alias("name")).groupBy(key).agg(
+    lead = F.slice("phrase", F.lit(1), F.lit(LEAD_WORDS))
+    phrases = cut(taxonomy_phrases(taxonomy).withColumn("lead", _stem(lead)).withColumn("lead_len", F.size(lead)))
+    heads = make_filter(phrases, F.xxhash64(F.rtrim(F.get("phrase", F.lit(0)), F.lit("s"))))
+    leads = make_filter(phrases, F.xxhash64("lead"))
+    # At most LEAD_WORDS numbers.
+    sizes = sorted(r[0] for r in phrases.select("lead_len").distinct().collect())
+
+    def runs(words: Column) -> Column:
+        opening = F.array_compact(F.transform(words, lambda w, i: F.when(heads.holds(F.xxhash64(F.rtrim(w, F.lit("s")))), i + 1)))
+
+        def of_size(at: Column, n: int) -> Column:
+            fits = F.filter(at, lambda i: (i + n - 1 <= F.size(words)) & leads.holds(F.xxhash64(_stem(F.slice(words, i, n)))))
+            return F.transform(fits, lambda i: F.struct(i.cast("int").alias("start"), F.slice(words, i, n).alias("run")))
+
+        return bind(opening, lambda at: F.concat(*[of_size(at, n) for n in sizes]))
+
+    lowered = F.transform(tokens(cleaned), F.lower)
+    if not sizes:
+        return posts.withColumn("disasters", F.when(F.lit(True), F.array().cast("array<string>")))
+    hits = posts.select(key, F.explode(bind(lowered, runs)).alias("r")).select(key, "r.start", "r.run", _stem(F.col("r.run")).alias("lead"))
+
+    def alike(words: Column, phrase: Column) -> Column:
+        return F.forall(F.zip_with(words, phrase, lambda t, w: F.coalesce((t == w) | (t == F.concat(w, F.lit("s"))), F.lit(False))), lambda x: x)
+
+    named = lookup_join(hits, phrases, "lead", "inner").where(
+        (F.size("run") == F.col("lead_len")) & alike(F.col("run"), F.slice("phrase", F.lit(1), F.lit(LEAD_WORDS))))
+    short = named.where(F.size("phrase") <= LEAD_WORDS)
+    open_ones = named.where(F.size("phrase") > LEAD_WORDS).select(key, "start", "phrase", "canonical")
+    words = posts.select(key, lowered.alias("_words"))
+    rest = F.slice("_words", F.col("start"), F.size("phrase"))
+    long = open_ones.join(words, key).where((F.size(rest) == F.size("phrase")) & alike(rest, F.col("phrase")))
+    every = short.select(key, "start", F.size("phrase").alias("len"), "canonical").union(long.select(key, "start", F.size("phrase"), "canonical"))
+    spans = every.groupBy(key, "start", "len").agg(F.min("canonical").alias("name")).groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("start", "len", "name"))).alias("_spans"))
-    kept = F.transform(choose_spans("_spans", longest), lambda s: s["name"])
+    kept = F.transform(choose_spans("_spans"), lambda s: s["name"])
     tagged = spans.select(key, F.array_distinct(kept).alias("disasters"))
     none = F.array().cast("array<string>")
     return posts.join(tagged, key, "left").withColumn("disasters", F.coalesce("disasters", none))
@@ -138,31 +159,31 @@ def place_names(gazetteer: DataFrame) -> DataFrame:
     )
 
 
-def word_grams(posts: DataFrame, key: str, max_words: int, cleaned: str, capitalised: bool) -> DataFrame:
-    """Rows ``(key, start, len, mention, gram)`` of all runs up to ``max_words`` words."""
-    words = posts.select(key, tokens(cleaned).alias("_words"))
-    # The outer form keeps Spark from testing the size of the words before cutting them.
-    sizes = F.sequence(F.lit(1), F.lit(max_words))
-    rows = (
-        words.select(key, "_words", F.posexplode_outer("_words").alias("_at", "_word"))
-        .where(F.col("_word") != ",")
-        .select(key, "_words", "_at", "_word", F.explode(sizes).alias("len"))
-        .where(F.col("_at") + F.col("len") <= F.size("_words"))
-        .select(
-            key,
-            (F.col("_at") + 1).alias("start"),
-            "len",
-            F.when(F.col("len") == 1, F.col("_word"))
-            .otherwise(F.array_join(F.slice("_words", F.col("_at") + 1, F.col("len")), " "))
-            .alias("mention"),
-        )
-        .where(~F.contains("mention", F.lit(",")))
-    )
-    if capitalised:
-        rows = rows.where(F.col("mention").rlike(r"^\p{Lu}"))
-    # Two-letter codes count as places only in capitals.
-    upper_code = (F.length("mention") != 2) | (F.upper("mention") == F.col("mention"))
-    return rows.where(upper_code).withColumn("gram", F.lower("mention"))
+def place_runs(words: Column, names: DataFrame, max_words: int, capitalised: bool) -> Column:
+    """``start, len, mention`` of the runs of a text's words that are likely names, inside the row.
+
+    A filter of the names' first words tells where runs are tried at all, a filter of the names
+    which of them stay; both are of bounded size.
+    """
+    heads = make_filter(names, F.xxhash64(F.substring_index("gram", " ", 1)))
+    grams = make_filter(names, F.xxhash64("gram"))
+
+    def runs(given: Column) -> Column:
+        def of_size(at: Column, n: int) -> Column:
+            def text(i: Column) -> Column:
+                return F.get(given, i - 1) if n == 1 else F.array_join(F.slice(given, i, n), " ")
+
+            fits = F.filter(at, lambda i: (i + n - 1 <= F.size(given)) & grams.holds(F.xxhash64(F.lower(text(i)))))
+            return F.transform(fits, lambda i: F.struct(i.cast("int").alias("start"), F.lit(n).alias("len"), text(i).alias("mention")))
+
+        def is_open(w: Column) -> Column:
+            likely = heads.holds(F.xxhash64(F.lower(w)))
+            return likely & F.rlike(w, F.lit(r"^\p{Lu}")) if capitalised else likely
+
+        opening = F.array_compact(F.transform(given, lambda w, i: F.when(is_open(w), i + 1)))
+        return bind(opening, lambda at: F.concat(*[of_size(at, n) for n in range(1, max_words + 1)]))
+
+    return bind(words, runs)
 
 
 def tag_places(
@@ -176,57 +197,70 @@ def tag_places(
 ) -> DataFrame:
     """``(key, locations)`` for posts with at least one place mention, in text order.
 
-    Word runs meet the name table by an equality join; only hits are grouped per post.
+    Texts are read once, whatever the size of the name table: only runs that are likely names
+    leave the row, and an equality join with the names keeps the true ones.
     ``distinct=False`` keeps repeated mentions.
     """
-    grams = word_grams(posts, key, max_words, cleaned, capitalised)
     known = cut(names.where(F.col("words") <= max_words).select("gram").distinct())
-    hits = lookup_join(grams, known, "gram", "inner")
-    spans = hits.groupBy(key).agg(
+    rows = posts.select(key, F.explode(place_runs(tokens(cleaned), known, max_words, capitalised)).alias("r")).select(key, "r.*")
+    # Two-letter codes count as places only in capitals.
+    upper_code = (F.length("mention") != 2) | (F.upper("mention") == F.col("mention"))
+    likely = rows.where(upper_code & ~F.contains("mention", F.lit(","))).withColumn("gram", F.lower("mention"))
+    spans = lookup_join(likely, known, "gram", "inner").groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("start", "len", "mention"))).alias("_spans")
     )
-    kept = spans.withColumn("_kept", choose_spans("_spans", max_words))
+    kept = spans.withColumn("_kept", choose_spans("_spans"))
     mentions = F.transform("_kept", lambda s: strip_possessive(s["mention"]))
     return kept.select(key, (F.array_distinct(mentions) if distinct else mentions).alias("locations"))
 
 
-def lexicon_scores(posts: DataFrame, lexicon: DataFrame, key: str, cleaned: str = "cleaned") -> DataFrame:
-    """``(key, polarity, subjectivity)``: mean word weight per post, zero without a hit.
+def polarity_columns(words: Column, lexicon: DataFrame) -> list[Column]:
+    """``polarity`` and ``subjectivity`` of an array of lower-case words, inside the row."""
+    units = lexicon.select("word", polarity_units("polarity").alias("p"), polarity_units("subjectivity").alias("s"))
+    weights = make_dictionary(units, "word", ["p", "s"])
+    zero = F.lit(0).cast("long")
+    start = F.struct(*[zero.alias(x) for x in ("p", "pn", "s", "sn")])
+
+    def add(acc: Column, row: Column) -> Column:
+        return F.struct(*[x for name in ("p", "s") for x in (
+            (acc[name] + F.coalesce(row[name], zero)).alias(name), (acc[f"{name}n"] + row[name].isNotNull().cast("long")).alias(f"{name}n"))])
+
+    def mean(total: Column, name: str) -> Column:
+        return F.when(total[f"{name}n"] > 0, total[name] / (total[f"{name}n"] * F.lit(POLARITY_SCALE))).otherwise(F.lit(0.0))
+
+    means = bind(
+        F.coalesce(weights.sums(words, start, add), start),
+        lambda t: F.struct(mean(t, "p").alias("polarity"), mean(t, "s").alias("subjectivity")))
+    return [means.alias("_means")]
+
 
-    ``lexicon`` holds ``word, polarity, subjectivity``, one row per word. Its weights are
-    summed as whole units, so the mean does not depend on row order.
+def add_scores(posts: DataFrame, lexicon: DataFrame, cleaned: str = "cleaned") -> DataFrame:
+    """``posts`` with ``polarity, subjectivity``: mean word weight per post, zero without a hit.
+
+    ``lexicon`` holds ``word, polarity, subjectivity``, one row per word. Its weights are summed as
+    whole units, so the mean does not depend on row order. Words never leave their row.
     """
-    words = posts.select(
-        key,
-        F.explode_outer(F.transform(tokens(cleaned), F.lower)).alias("word"),
-    )
-    units = lexicon.select(
-        "word",
-        polarity_units("polarity").alias("_p"),
-        polarity_units("subjectivity").alias("_s"),
-    )
-    scored = lookup_join(words, units, "word")
+    scored = posts.select("*", *polarity_columns(F.transform(tokens(cleaned), F.lower), lexicon))
+    return scored.select(*posts.columns, "_means.polarity", "_means.subjectivity")
 
-    def mean(name: str) -> Column:
-        total = F.sum(name) / (F.count(name) * F.lit(POLARITY_SCALE))
-        return F.when(F.count(name) > 0, total).otherwise(F.lit(0.0))
 
-    return scored.groupBy(key).agg(mean("_p").alias("polarity"), mean("_s").alias("subjectivity"))
+def lexicon_scores(posts: DataFrame, lexicon: DataFrame, key: str, cleaned: str = "cleaned") -> DataFrame:
+    """``(key, polarity, subjectivity)`` of each post."""
+    return add_scores(posts.select(key, cleaned), lexicon, cleaned).select(key, "polarity", "subjectivity")
 
 
 def preprocess_topics(
     posts: DataFrame, stop_words: Iterable[str], key: str, lemmas: DataFrame | None = None
 ) -> DataFrame:
-    """``(key, preprocessed_text)``; ``lemmas`` holds ``word, lemma``, one row per word."""
-    words = posts.select(key, topic_words("text", stop_words).alias("_words"))
-    if lemmas is None:
-        return words.select(key, F.array_join("_words", " ").alias("preprocessed_text"))
-    rows = words.select(key, F.posexplode_outer("_words").alias("pos", "word"))
-    base = lookup_join(rows, lemmas, "word").withColumn("w", F.coalesce("lemma", "word"))
-    ordered = F.sort_array(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("pos", "w"))))
-    return base.groupBy(key).agg(
-        F.array_join(F.transform(ordered, lambda s: s["w"]), " ").alias("preprocessed_text")
-    )
+    """``(key, preprocessed_text)``; ``lemmas`` holds ``word, lemma``, one row per word.
+
+    Lemmas are looked up inside the row, so words never leave it.
+    """
+    words = topic_words("text", stop_words)
+    if lemmas is not None:
+        table = make_dictionary(lemmas, "word", ["lemma"])
+        words = F.transform(words, lambda w: F.coalesce(table.find(w)["lemma"], w))
+    return posts.select(key, F.coalesce(F.array_join(words, " "), F.lit("")).alias("preprocessed_text"))
 
 
 def extract_with_model(

@@ -13,7 +13,7 @@ from reliefgrid.functions.scalars import sentiment_class
 from reliefgrid.functions.text import clean_text
 from reliefgrid.operators import counts, posts as post_ops
 from reliefgrid.operators.places import RESOLVED_FIELDS, collect_places, resolve_all
-from reliefgrid.operators.tagging import disaster_names, lexicon_scores, place_names, tag_disasters, tag_places
+from reliefgrid.operators.tagging import add_scores, disaster_names, place_names, tag_disasters, tag_places
 from reliefgrid.session import cut
 
 
@@ -35,14 +35,14 @@ class Dictionaries:
 
 def extract_entities(posts: DataFrame, dicts: Dictionaries, key: str = "post_id") -> DataFrame:
     """``(key, disasters, locations, sentiment, polarity)`` for every post."""
-    tagged = tag_disasters(posts.select(key, clean_text("text").alias("cleaned")), dicts.phrases)
-    places = tag_places(tagged, dicts.names, key, dicts.max_words)
-    scores = lexicon_scores(tagged, dicts.lexicon, key)
+    cleaned = posts.select(key, clean_text("text").alias("cleaned"))
+    # Disasters and scores are found in the row; only place hits are grouped and joined back.
+    tagged = add_scores(tag_disasters(cleaned, dicts.phrases), dicts.lexicon)
+    places = tag_places(cleaned, dicts.names, key, dicts.max_words)
     none = F.array().cast("array<string>")
     return (
-        tagged.select(key, "disasters")
+        tagged.select(key, "disasters", "polarity")
         .join(places, key, "left")
-        .join(scores, key, "left")
         .select(
             key,
             "disasters",
@@ -87,14 +87,13 @@ def filtered_posts(
     named = cut(post_ops.dedup_text(tagged, order or [key]))
 
     places = cut(tag_places(named, dicts.names, key, dicts.max_words))
-    scores = lexicon_scores(named.join(places, key, "left_semi"), dicts.lexicon, key)
     located = resolve_all(places, dicts.gazetteer, dicts.states, key, dicts.mode)
     grouped = collect_places(located.where(F.col("resolved.state") != ""), key)
-    crisis = named.join(places.join(scores, key), key).join(grouped, key, "left")
-    return fan_out(crisis.withColumn("sentiment", sentiment_class("polarity")))
+    crisis = add_scores(named.join(places, key), dicts.lexicon).join(grouped, key, "left")
+    return fan_out(crisis.withColumn("sentiment", sentiment_class("polarity")), key)
 
 
-def fan_out(crisis: DataFrame) -> DataFrame:
+def fan_out(crisis: DataFrame, key: str = "post_id") -> DataFrame:
     """One row per place of ``all_locations``; a post without any keeps one row of nulls.
 
     The first row names its city as location, the others the text of the mention.
@@ -102,11 +101,7 @@ def fan_out(crisis: DataFrame) -> DataFrame:
     rows = crisis.select("*", F.posexplode_outer("all_locations").alias("place_no", "place"))
     location = F.when(F.coalesce("place_no", F.lit(0)) == 0, F.col("place.city")).otherwise(F.col("place.location"))
     return rows.select(
-        "author",
-        "created_at",
-        "post_id",
-        "text",
-        "uri",
+        *dict.fromkeys(["author", "created_at", key, "text", "uri"]),
         "disasters",
         "sentiment",
         "polarity",
