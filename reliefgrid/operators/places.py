@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reliefgrid.functions.columns import as_col, bind
 from reliefgrid.functions.text import title_case
 from reliefgrid.operators.joins import lookup_join
 from reliefgrid.session import cut
-from reliefgrid.sources.states import state_array
+from reliefgrid.sources.states import known_states, state_keys, state_names
 
 PLACE_FIELDS = [
     "geonameid", "name", "featureCode", "stateCode", "countryCode", "latitude", "longitude", "population",
@@ -17,9 +16,8 @@ PLACE_FIELDS = [
 RESOLVED_FIELDS = ["city", "state", "region", "country", "latitude", "longitude"]
 
 GRAM = 3
-# Posting lists of grams with at least this share of all postings are spread over salts.
-HOT_GRAM_SHARE = 1 / 1000
-SALTS = 64
+# Postings, or needles, of a gram that meet in one task, about.
+BLOCK_ROWS = 100_000
 
 
 def place_struct() -> Column:
@@ -61,62 +59,73 @@ def lookup_exact(mentions: DataFrame, gazetteer: DataFrame) -> DataFrame:
     return keyed.join(name_index(gazetteer), "key", "left").drop("key")
 
 
-def is_state(mention: Column, states: Column) -> Column:
-    return F.array_contains(states["keys"], F.lower(F.trim(mention)))
+def mark_states(mentions: DataFrame, states: DataFrame) -> DataFrame:
+    """Add ``is_state``: whether the mention is the code or name of a state."""
+    keys = state_keys(states).select(F.col("key").alias("_key"), F.lit(True).alias("_hit"))
+    marked = mentions.join(keys, F.lower(F.trim("mention")) == F.col("_key"), "left")
+    return marked.select(*mentions.columns, F.col("_hit").isNotNull().alias("is_state"))
 
 
 def _grams(text: Column, size: int) -> Column:
     """Distinct substrings of one length."""
+    return F.array_distinct(F.transform(_placed_grams(text, size), lambda g: g["gram"]))
+
+
+def _placed_grams(text: Column, size: int) -> Column:
+    """``at, gram`` of all substrings of one length, from one."""
     places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1)))
     return F.coalesce(
-        F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(size)))),
-        F.array().cast("array<string>"),
+        F.transform(places, lambda i: F.struct(i.alias("at"), F.substring(text, i, F.lit(size)).alias("gram"))),
+        F.array().cast("array<struct<at:int,gram:string>>"),
     )
 
 
+def _pieces(n: str) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_ROWS)).cast("int")
+
+
 def contains_lookup(mentions: DataFrame, texts: DataFrame, shortest: int = 1) -> DataFrame:
-    """Best place whose ``hay`` holds the mention (and whose ``also``, if given), by blocks of grams.
+    """Best place whose ``hay`` holds the mention (and whose ``also``, if given), by a positional gram index.
 
     ``mentions``: distinct ``(mention, needle)``, the needle in lower case. ``texts``:
-    ``(hay, also, place)``. A hay that holds the needle holds every gram of it, so each
-    needle meets only the postings of its rarest gram; the match is then verified. Posting
-    lists of the few grams with a large share (a bounded set) are split over salts.
+    ``(hay, also, place)``. A posting is a gram, a text's number and the gram's place in it.
+    Each needle meets the postings of its rarest gram; the text must then hold the needle's next
+    rarest gram at the right distance, and what is left is verified. Postings and needles of a gram
+    that has many are dealt over a grid of pieces, so that no task gets all of either.
     Needles shorter than a gram are grams themselves and meet the best place per gram;
     ``shortest`` tells that there are none.
     """
-    distinct_texts = cut(best_place(texts, "hay", "also"))
-    postings = distinct_texts.select(F.explode(_grams(F.col("hay"), GRAM)).alias("gram"), "hay", "also", "place")
+    # Written out, so that the numbers stay the same whoever reads them.
+    numbered = cut(best_place(texts, "hay", "also").withColumn("text", F.monotonically_increasing_id()))
+    postings = numbered.select("text", F.explode(_placed_grams(F.col("hay"), GRAM)).alias("g")).select("text", "g.at", "g.gram")
     sizes = cut(postings.groupBy("gram").agg(F.count("*").alias("n")))
-    total = sizes.agg(F.sum("n")).scalar()
-    hot = sizes.where(F.col("n") >= total * F.lit(HOT_GRAM_SHARE)).select("gram", F.lit(True).alias("hot"))
 
     long_ones = mentions.where(F.length("needle") >= GRAM)
-    rarest = (
-        long_ones.select("mention", "needle", F.explode(_grams(F.col("needle"), GRAM)).alias("gram"))
-        .join(sizes, "gram", "left")
+    ranked = (
+        long_ones.select("mention", "needle", F.explode(_placed_grams(F.col("needle"), GRAM)).alias("g"))
+        .select("mention", "needle", "g.at", "g.gram").join(sizes, "gram", "left")
         .groupBy("mention", "needle")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
-        .where(F.col("r.n") > 0)
-        .select("mention", "needle", F.col("r.gram").alias("gram"))
-    )
-    blocks = rarest.join(F.broadcast(hot), "gram", "left").select(
-        "mention",
-        "needle",
-        "gram",
-        F.explode(
-            F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        ).alias("salt"),
+        .agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "at"))), 1, 2).alias("r"))
     )
-    salted = postings.join(F.broadcast(hot), "gram", "left").select(
-        "gram",
-        F.when(F.col("hot"), F.pmod(F.xxhash64("hay", "also"), F.lit(SALTS)).cast("int"))
-        .otherwise(F.lit(0))
-        .alias("salt"),
-        "hay",
-        "also",
-        "place",
-    )
-    verified = blocks.join(salted, ["gram", "salt"]).where(
+    # A needle with a gram that no text holds is found nowhere.
+    first, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
+    probes = cut(ranked.where(first["n"] > 0).select(
+        "mention", "needle", first["gram"].alias("gram"), first["at"].alias("offset"), second["gram"].alias("gram2"), second["at"].alias("offset2")))
+    grid = probes.groupBy("gram").agg(F.count("*").alias("asked")).join(sizes, "gram").select(
+        "gram", _pieces("n").alias("rows"), _pieces("asked").alias("columns"))
+
+    def dealt(df: DataFrame, own: str, other: str, key: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"_{other}")
+        return df.join(grid, "gram").select(*df.columns, F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(f"_{own}"), every)
+
+    blocks = ["gram", "_rows", "_columns"]
+    met = dealt(probes, "columns", "rows", "needle").join(dealt(postings, "rows", "columns", "text"), blocks).select(
+        "mention", "needle", "text", (F.col("at") - F.col("offset")).alias("before"), "gram2", "offset2")
+    again = postings.select("text", F.col("at").alias("_at"), F.col("gram").alias("gram2"))
+    near = met.where(F.col("gram2").isNotNull()).withColumn("_at", (F.col("before") + F.col("offset2")).cast("int")).join(
+        again, ["text", "gram2", "_at"], "left_semi").select("mention", "needle", "text")
+    likely = near.union(met.where(F.col("gram2").isNull()).select("mention", "needle", "text")).distinct()
+    verified = likely.join(numbered, "text").where(
         F.contains("hay", "needle") & (F.col("also").isNull() | F.contains("also", "needle"))
     )
     found = best_place(verified.select("mention", "place"), "mention")
@@ -128,7 +137,7 @@ def contains_lookup(mentions: DataFrame, texts: DataFrame, shortest: int = 1) ->
         F.concat(*[_grams(F.col("hay"), n) for n in range(1, GRAM)]),
         lambda g: F.col("also").isNull() | F.contains(F.col("also"), g),
     )
-    per_gram = best_place(distinct_texts.select(F.explode(short_grams).alias("needle"), "place"), "needle")
+    per_gram = best_place(numbered.select(F.explode(short_grams).alias("needle"), "place"), "needle")
     return found.unionByName(short_ones.join(per_gram, "needle").select("mention", "place"))
 
 
@@ -164,15 +173,15 @@ def cascade_keys(gazetteer: DataFrame) -> DataFrame:
     return best_place(rows.where(F.col("key").isNotNull()), "stage", "key")
 
 
-def cascade_equal_stages(mentions: DataFrame, gazetteer: DataFrame, states: Column) -> DataFrame:
-    """``(mention, stage, place)``: the first equality stage with a hit, in one join.
+def cascade_equal_stages(mentions: DataFrame, gazetteer: DataFrame, states: DataFrame) -> DataFrame:
+    """``(mention, is_state, stage, place)``: the first equality stage with a hit, in one join.
 
     A state code or name looks at state records only; other mentions look for a town of the
     title-cased name, then for an alternate name. Without a hit stage and place are null.
     """
     norm = F.trim("mention")
     stages = F.when(
-        is_state(F.col("mention"), states),
+        F.col("is_state"),
         F.array(F.struct(F.lit(1).alias("stage"), F.lower(norm).alias("key"))),
     ).otherwise(
         F.array_compact(
@@ -184,13 +193,14 @@ def cascade_equal_stages(mentions: DataFrame, gazetteer: DataFrame, states: Colu
             )
         )
     )
-    probes = mentions.select("mention", F.explode(stages).alias("k")).select("mention", "k.*")
+    marked = mark_states(mentions.select("mention"), states)
+    probes = marked.select("mention", "is_state", F.explode(stages).alias("k")).select("mention", "is_state", "k.*")
     hits = probes.join(cascade_keys(gazetteer), ["stage", "key"], "left")
     first = F.min_by(F.struct("stage", "place"), F.when(F.col("place").isNotNull(), F.col("stage")))
     return (
-        hits.groupBy("mention")
+        hits.groupBy("mention", "is_state")
         .agg(first.alias("f"))
-        .select("mention", F.col("f.stage").alias("stage"), F.col("f.place").alias("place"))
+        .select("mention", "is_state", F.col("f.stage").alias("stage"), F.col("f.place").alias("place"))
     )
 
 
@@ -198,10 +208,10 @@ def unresolved(mentions: DataFrame, resolved: DataFrame) -> DataFrame:
     return mentions.join(resolved.where(F.col("place").isNotNull()), "mention", "left_anti")
 
 
-def lookup_cascade(mentions: DataFrame, gazetteer: DataFrame, states: Column) -> DataFrame:
+def lookup_cascade(mentions: DataFrame, gazetteer: DataFrame, states: DataFrame) -> DataFrame:
     """``(mention, stage, place)`` for distinct mentions over all four stages; misses have null."""
     equal = cut(cascade_equal_stages(mentions, gazetteer, states))
-    open_ones = equal.where(F.col("place").isNull() & ~is_state(F.col("mention"), states)).select("mention")
+    open_ones = equal.where(F.col("place").isNull() & ~F.col("is_state")).select("mention")
     fuzzy = lookup_fuzzy(open_ones, gazetteer).select("mention", F.col("place").alias("fuzzy"))
     return equal.join(fuzzy, "mention", "left").select(
         "mention",
@@ -228,93 +238,131 @@ def lookup_two_stage(mentions: DataFrame, gazetteer: DataFrame) -> DataFrame:
     )
 
 
-def region_state(region: Column | str, states: Column, longest_match: bool = False) -> Column:
-    """First state in dimension order whose name lies in the region; null without one.
+def region_states(regions: DataFrame, states: DataFrame, longest_match: bool = False) -> DataFrame:
+    """``(region, hit)`` of distinct regions that hold a state's name: the first state in dimension order.
 
-    ``longest_match`` takes the longest such name instead.
+    ``longest_match`` takes the longest such name instead. Each name is kept under its rarest
+    gram, so a region meets only names that share one with it; the match is then verified.
     """
-    found = bind(
-        F.lower(as_col(region)), lambda low: F.filter(states["rows"], lambda s: F.contains(low, s["low_name"]))
-    )
-    hits = F.when(as_col(region).isNotNull(), found)
-    if longest_match:
-        ranked = F.transform(
-            hits, lambda s: F.struct((-F.length(s["name"])).alias("r"), s["ord"].alias("o"), s.alias("s"))
-        )
-        return F.get(F.sort_array(ranked), F.lit(0))["s"]
-    return F.get(hits, F.lit(0))
+    listed = known_states(states)
+    names = cut(listed.select(F.lower("name").alias("low"), F.struct("ord", "code", "name", "lat", "lon").alias("hit")))
 
+    def keys(text: Column) -> Column:
+        return F.when(F.length(text) < GRAM, F.array(text)).otherwise(_grams(text, GRAM))
 
-def state_name(code: Column, states: Column) -> Column:
-    return F.try_element_at(states["names"], code)
+    grams = names.select("low", F.explode(keys(F.col("low"))).alias("gram")).distinct()
+    sizes = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = grams.join(sizes, "gram").groupBy("low").agg(F.min(F.struct("n", "gram")).alias("r")).select("low", "r.gram")
+    kept = names.join(rarest, "low")
+    low = F.lower("region")
+    probes = regions.where(F.col("region").isNotNull()).select("region", F.explode(F.concat(*[_grams(low, n) for n in range(1, GRAM + 1)])).alias("gram"))
+    hits = probes.join(kept, "gram").where(F.contains(F.lower("region"), "low"))
+    rank = F.struct((-F.length("hit.name")).alias("r"), "hit.ord") if longest_match else F.struct("hit.ord", "hit.code", "hit.name")
+    return hits.groupBy("region").agg(F.min_by("hit", rank).alias("hit"))
 
 
-def classify_place(
-    mention: Column | str, place: Column | str, states: Column, keep_misses: bool = True,
-    longest_match: bool = False,
-) -> Column:
-    """Struct of city, state, region, country and coordinates for a mention and its record.
+def classify_places(found: DataFrame, states: DataFrame, keep_misses: bool = True, longest_match: bool = False) -> DataFrame:
+    """Add ``resolved``, a struct of city, state, region, country and coordinates, to rows of ``mention, place``.
 
     ``keep_misses=False`` gives nulls for a mention without a record instead of trying its
-    text as a region.
+    text as a region. The state dimension may have any size.
     """
-    m, p = as_col(mention), as_col(place)
-    feature = F.upper(F.coalesce(p["featureCode"], F.lit("")))
-    decoded = state_name(p["stateCode"], states)
+    columns = [c for c in found.columns if c != "is_state"]
+    marked = mark_states(found.select(columns), states)
+    names = state_names(states).select(F.col("code").alias("_code"), F.col("name").alias("_decoded"))
+    place = F.col("place")
+    feature = F.upper(F.coalesce(place["featureCode"], F.lit("")))
     is_area = feature.startswith("PPL") | feature.startswith("ADM")
-    state = F.when(feature == "ADM1", F.coalesce(decoded, p["stateCode"])).when(is_area, decoded)
+    state = F.when(feature == "ADM1", F.coalesce("_decoded", place["stateCode"])).when(is_area, F.col("_decoded"))
+    decoded = marked.join(names, place["stateCode"] == F.col("_code"), "left")
     # An empty state counts as none.
-    own_state = F.when(state != "", state)
-
-    def build(s: Column) -> Column:
-        region = F.when(s["own"].isNull() & ~is_state(m, states), title_case(F.trim(m)))
-        return bind(
-            region,
-            lambda r: bind(
-                region_state(r, states, longest_match),
-                lambda hit: F.struct(
-                    F.when(s["own"].isNotNull() & (feature != "ADM1"), p["name"]).alias("city"),
-                    F.coalesce(hit["name"], s["own"]).alias("state"),
-                    r.alias("region"),
-                    p["countryCode"].alias("country"),
-                    F.coalesce(hit["lat"], p["latitude"]).alias("latitude"),
-                    F.coalesce(hit["lon"], p["longitude"]).alias("longitude"),
-                ),
-            ),
-        )
-
-    built = bind(F.struct(own_state.alias("own")), build)
-    return built if keep_misses else F.when(p.isNotNull(), built)
+    owned = decoded.withColumn("_own", F.when(state != "", state))
+    cleared = cut(owned.withColumn(
+        "_region", F.when(F.col("_own").isNull() & ~F.col("is_state"), title_case(F.trim("mention")))).select(*columns, "_own", "_region"))
+    hits = region_states(cleared.select(F.col("_region").alias("region")).distinct(), states, longest_match).select(
+        F.col("region").alias("_named"), "hit")
+    joined = cleared.join(hits, F.col("_region") == F.col("_named"), "left")
+    built = F.struct(
+        F.when(F.col("_own").isNotNull() & (feature != "ADM1"), place["name"]).alias("city"),
+        F.coalesce("hit.name", "_own").alias("state"),
+        F.col("_region").alias("region"),
+        place["countryCode"].alias("country"),
+        F.coalesce("hit.lat", place["latitude"]).alias("latitude"),
+        F.coalesce("hit.lon", place["longitude"]).alias("longitude"),
+    )
+    return joined.select(*columns, (built if keep_misses else F.when(place.isNotNull(), built)).alias("resolved"))
 
 
 def resolve_mentions(
     mentions: DataFrame, gazetteer: DataFrame, states: DataFrame, mode: str = "cascade"
 ) -> DataFrame:
     """``(mention, resolved)`` for distinct mentions; ``mode`` is exact, cascade or two_stage."""
-    dim = state_array(states)
+    found = lookup_places(mentions, gazetteer, states, mode)
+    return classify_places(found.select("mention", "place"), states, keep_misses=mode != "exact").select("mention", "resolved")
+
+
+def lookup_places(mentions: DataFrame, gazetteer: DataFrame, states: DataFrame, mode: str = "cascade") -> DataFrame:
+    """Distinct mentions with ``place``, by one of the three lookups."""
     if mode == "exact":
-        found = lookup_exact(mentions, gazetteer)
-    elif mode == "two_stage":
-        found = lookup_two_stage(mentions, gazetteer)
-    else:
-        found = lookup_cascade(mentions, gazetteer, dim)
-    resolved = classify_place("mention", "place", dim, keep_misses=mode != "exact")
-    return found.select("mention", resolved.alias("resolved"))
+        return lookup_exact(mentions, gazetteer)
+    if mode == "two_stage":
+        return lookup_two_stage(mentions, gazetteer)
+    return lookup_cascade(mentions, gazetteer, states)
+
+
+def lookup_in_state(pairs: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """``(mention, hint, stage, place)``: the best town of a mention within the state of a code; misses are absent.
+
+    A town of the title-cased name comes first, then one with the mention among its alternates.
+    """
+    norm = F.trim("mention")
+    town = F.array_compact(F.array(
+        F.struct(F.lit(2).alias("stage"), title_case(norm).alias("key")),
+        F.when(F.length(norm) > 2, F.struct(F.lit(3).alias("stage"), F.lower(norm).alias("key")))))
+    probes = pairs.select("mention", "hint", F.explode(town).alias("k")).select("mention", "hint", "k.*")
+    names = F.array(F.struct(F.lit(2).alias("stage"), F.col("name").alias("key")))
+    others = F.transform(
+        F.coalesce(F.array_distinct(lower_alternates()), F.array().cast("array<string>")),
+        lambda a: F.struct(F.lit(3).alias("stage"), a.alias("key")))
+    towns = gazetteer.where(is_kind("PPL")).select(F.col("stateCode").alias("hint"), F.explode(F.concat(names, others)).alias("k"), place_struct())
+    best = best_place(towns.select("hint", "k.*", "place").where(F.col("key").isNotNull() & F.col("hint").isNotNull()), "hint", "stage", "key")
+    hits = probes.join(best, ["hint", "stage", "key"])
+    first = hits.groupBy("mention", "hint").agg(F.min_by(F.struct("stage", "place"), "stage").alias("f"))
+    return first.select("mention", "hint", "f.stage", "f.place")
+
+
+def next_state(posts: DataFrame, states: DataFrame, key: str) -> DataFrame:
+    """``(key, pos, mention, hint)``: every mention, with the state's code where the next mention of the post names one."""
+    rows = posts.select(key, "locations", F.posexplode("locations").alias("pos", "mention"))
+    after = rows.select(key, "pos", "mention", F.lower(F.trim(F.get("locations", F.col("pos") + 1))).alias("_next"))
+    keys = state_keys(states).select(F.col("key").alias("_next"), F.col("code").alias("hint"))
+    return lookup_join(after, keys, "_next").drop("_next")
 
 
 def resolve_all(
-    posts: DataFrame, gazetteer: DataFrame, states: DataFrame, key: str, mode: str = "exact"
+    posts: DataFrame, gazetteer: DataFrame, states: DataFrame, key: str, mode: str = "exact", context: bool = False
 ) -> DataFrame:
     """``(key, pos, mention, resolved)``: every mention of every post; misses have nulls.
 
     Each distinct mention is looked up once; the result meets the posts again through the
     lookup join, so a mention that fills a third of the posts is neither looked up twice
-    nor shuffled to one task.
+    nor shuffled to one task. With ``context``, a mention that the next one follows up with a
+    state ("Springfield, Illinois") is looked up among that state's towns first.
     """
-    rows = posts.select(key, F.posexplode("locations").alias("pos", "mention"))
+    if not context:
+        rows = posts.select(key, F.posexplode("locations").alias("pos", "mention"))
+    else:
+        rows = cut(next_state(posts, states, key))
     distinct = rows.where(F.col("mention") != "").select("mention").distinct()
     resolved = cut(resolve_mentions(distinct, gazetteer, states, mode))
-    return lookup_join(rows, resolved, "mention")
+    plain = lookup_join(rows, resolved, "mention")
+    if not context:
+        return plain
+    pairs = rows.where(F.col("hint").isNotNull() & (F.col("mention") != "")).select("mention", "hint").distinct()
+    inside = classify_places(lookup_in_state(pairs, gazetteer), states).select(
+        F.col("mention").alias("_mention"), F.col("hint").alias("_hint"), F.col("resolved").alias("_inside"))
+    joined = plain.join(inside, (F.col("mention") == F.col("_mention")) & (F.col("hint") == F.col("_hint")), "left")
+    return joined.select(key, "pos", "mention", F.coalesce("_inside", "resolved").alias("resolved"))
 
 
 def collect_places(rows: DataFrame, key: str) -> DataFrame:
@@ -329,13 +377,13 @@ def collect_places(rows: DataFrame, key: str) -> DataFrame:
 
 
 def standardize_places(
-    posts: DataFrame, gazetteer: DataFrame, states: DataFrame, key: str, mode: str = "cascade"
+    posts: DataFrame, gazetteer: DataFrame, states: DataFrame, key: str, mode: str = "cascade", context: bool = False
 ) -> DataFrame:
     """Per post: the first place with a state at the top, further ones in ``all_locations``.
 
     Posts without such a place have nulls at the top and an empty list.
     """
-    rows = resolve_all(posts, gazetteer, states, key, mode).where(F.col("resolved.state") != "")
+    rows = resolve_all(posts, gazetteer, states, key, mode, context).where(F.col("resolved.state") != "")
     places = collect_places(rows, key)
     top = F.get("all_locations", F.lit(0))
     rest = F.filter("all_locations", lambda p, i: i > 0)

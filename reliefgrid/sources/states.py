@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STATE_SCHEMA = "ord int, code string, name string, lat double, lon double"
-MAX_STATES = 1_000
 
 # Codes, names and centre points, in the order used for substring lookup.
 US_STATES = [
@@ -70,23 +67,17 @@ def us_states(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *row) for i, row in enumerate(US_STATES)], STATE_SCHEMA)
 
 
-def state_array(states: DataFrame) -> Column:
-    """The dimension as one constant for expressions that look through all states.
+def known_states(states: DataFrame) -> DataFrame:
+    """The states of a dimension of any size. A row without code or name is no state."""
+    return states.select("ord", "code", "name", "lat", "lon").where((F.col("code") != "") & (F.col("name") != ""))
+
+
+def state_keys(states: DataFrame) -> DataFrame:
+    """``key, code``: every code and name in lower case, once, with the first such state's code."""
+    keys = F.explode(F.array(F.lower("code"), F.lower("name"))).alias("key")
+    return known_states(states).select(keys, "ord", "code").groupBy("key").agg(F.min_by("code", F.struct("ord", "code")).alias("code"))
+
 
-    Fields: ``rows`` (states in ``ord`` order), ``keys`` (lower-case codes and names) and
-    ``names`` (code to name). It is read once; a dimension over ``MAX_STATES`` rows is refused.
-    """
-    found = states.select("ord", "code", "name", "lat", "lon").limit(MAX_STATES + 1).collect()
-    if len(found) > MAX_STATES:
-        raise ValueError("state dimension is larger than its bound")
-    listed = [row.asDict() for row in sorted(found, key=lambda r: r["ord"]) if row["code"] and row["name"]]
-    packed = {
-        "rows": [row | {"low_name": row["name"].lower()} for row in listed],
-        "keys": [row[field].lower() for row in listed for field in ("code", "name")],
-        "names": {row["code"]: row["name"] for row in listed},
-    }
-    kind = (
-        "struct<rows:array<struct<ord:int,code:string,name:string,lat:double,lon:double,low_name:string>>,"
-        "keys:array<string>,names:map<string,string>>"
-    )
-    return F.from_json(F.lit(json.dumps(packed)), kind)
+def state_names(states: DataFrame) -> DataFrame:
+    """``code, name``, one row for each code; of several the last in order."""
+    return known_states(states).groupBy("code").agg(F.max_by("name", F.struct("ord", "name")).alias("name"))
