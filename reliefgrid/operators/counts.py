@@ -102,12 +102,14 @@ def merge_counts(previous: DataFrame | None, new: DataFrame) -> DataFrame:
 
     Without a previous state the new counts stand; without new rows the previous state stays.
     """
-    new = cut(new)
-    if previous is None or previous.isEmpty():
+    if previous is None:
         return new.select(COUNT_COLUMNS)
-    if new.isEmpty():
-        return previous.select(COUNT_COLUMNS)
-    rows = previous.select(COUNT_COLUMNS).unionByName(new.select(COUNT_COLUMNS))
+    # Both sides are worked out once; emptiness, totals and cities are read from what is written.
+    old = previous.select(COUNT_COLUMNS).withColumn("_side", F.lit(0))
+    rows = cut(old.unionByName(new.select(COUNT_COLUMNS).withColumn("_side", F.lit(1))))
+    sides = {r[0] for r in rows.select("_side").distinct().collect()}
+    if len(sides) < 2:
+        return rows.select(COUNT_COLUMNS)
     # Averages carry two decimals, so whole cents add exactly.
     cents = F.rint(F.col("avg_sentiment") * CENTS).cast("long")
     totals = rows.groupBy(*KEYS).agg(

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reliefgrid.functions.scalars import one_line, post_uri, post_url
+from reliefgrid.operators.bitfilter import bit_filter, marked
 from reliefgrid.operators.joins import lookup_join
 from reliefgrid.session import cut
 
@@ -79,9 +80,19 @@ def filter_nonempty(posts: DataFrame, column: str = "text") -> DataFrame:
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row per key by ``order``.
 
-    An aggregate with map-side combine, so copies of a popular text collapse before the
-    shuffle. The hash leads the grouping keys to make sorting long texts cheap.
+    Hashes are counted first, and a filter of bounded size marks the rows whose hash occurs more
+    than once. All others stand alone and pass without a shuffle. The marked ones are grouped by
+    the whole key, with map-side combine, so copies of a popular text collapse before the shuffle;
+    equal hashes of different keys only cost a few rows more.
     """
+    hashed = F.xxhash64(*keys)
+    counted = df.select(hashed.alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    rows = marked(df, hashed, bit_filter(counted, "h"), "_again")
+    alone = rows.where(~F.col("_again")).select(df.columns)
+    return alone.union(_first_of_group(rows.where("_again").select(df.columns), keys, order))
+
+
+def _first_of_group(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     first = F.min_by(F.struct(*rest), F.struct(*order))
     grouped = df.groupBy(F.xxhash64(*keys).alias("_h"), *keys).agg(first.alias("_first"))
