@@ -13,10 +13,11 @@ from reliefgrid.operators import counts, evaluate, places, repair, tagging, view
 from reliefgrid.operators import posts as post_ops
 from reliefgrid.plans import bindings as b
 from reliefgrid.plans import pipeline
-from reliefgrid.session import scratch_path
-from reliefgrid.sources import readers, schemas, snapshots, taxonomy
-from reliefgrid.sources.states import state_array
-from reliefgrid.streaming import crisis
+from reliefgrid.session import cut, scratch_path
+from reliefgrid.sources import probe, readers, schemas, snapshots, taxonomy
+from reliefgrid.streaming import crisis, keyed
+from reliefgrid.streaming import windows as windowing
+from reliefgrid.streaming.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -201,6 +202,23 @@ def state_quality_gate(spark, sf):
     )
 
 
+@query
+def state_file_gate(spark, sf):
+    """Counts written as state files in good and bad ways; two of them are no such files at all."""
+    root = scratch_path(spark, "states")
+    rows = counts.crisis_counts(b.single_reports(spark, sf)).withColumn("cities", joined("cities"))
+    rows = cut(rows.withColumn("region", F.lit(None).cast("string")))
+    rows.write.csv(f"{root}/good", header=True)
+    rows.drop("cities", "count").withColumn("avg_sentiment", F.lit(None).cast("double")).write.csv(f"{root}/thin", header=True)
+    rows.write.csv(f"{root}/headerless", header=False)
+    rows.write.csv(f"{root}/semicolon", header=True, sep=";")
+    rows.write.parquet(f"{root}/binary")
+    spark.range(1).select(F.lit(" ")).write.text(f"{root}/empty")
+    names = ["good", "thin", "headerless", "semicolon", "binary", "empty", "missing"]
+    found = probe.probe_files(spark, root, names, schemas.CRISIS_COUNT_DEFAULTS)
+    return found.withColumns({c: joined(c) for c in ("missing_columns", "empty_columns")})
+
+
 # --- projections and filters -------------------------------------------------------------
 
 
@@ -349,8 +367,7 @@ def place_lookup_exact(spark, sf):
 
 @query
 def place_lookup_cascade(spark, sf):
-    dim = state_array(b.states(spark, sf))
-    return _place_columns(places.lookup_cascade(b.mentions(spark, sf), b.gazetteer(spark, sf), dim))
+    return _place_columns(places.lookup_cascade(b.mentions(spark, sf), b.gazetteer(spark, sf), b.states(spark, sf)))
 
 
 @query
@@ -372,13 +389,11 @@ def place_lookup_fuzzy(spark, sf):
 
 @query
 def region_to_state(spark, sf):
-    dim = state_array(b.states(spark, sf))
+    states = b.states(spark, sf)
     regions = b.mentions(spark, sf).select(text.title_case(F.trim("mention")).alias("region")).distinct()
-    return regions.select(
-        "region",
-        places.region_state("region", dim)["name"].alias("state"),
-        places.region_state("region", dim, longest_match=True)["name"].alias("longest"),
-    )
+    first = places.region_states(regions, states).select("region", F.col("hit.name").alias("state"))
+    longest = places.region_states(regions, states, longest_match=True).select("region", F.col("hit.name").alias("longest"))
+    return regions.join(first, "region", "left").join(longest, "region", "left")
 
 
 @query
@@ -406,6 +421,19 @@ def resolve_author(spark, sf):
     return post_ops.resolve_author(posts, b.handles(spark, sf))
 
 
+@query
+def place_in_context(spark, sf):
+    """Alternates that customers of several nations share, each followed by the customer's own state."""
+    cust, key = F.col("c_custkey"), F.col("c_nationkey")
+    named = F.concat(F.lower("c_mktsegment"), F.lit(" "), (cust % 1000 % 40).cast("string"))
+    gaz = b.gazetteer(spark, sf).withColumn(
+        "alternate_list", F.transform("alternate_list", lambda a: F.concat(F.split(a, " ")[0], F.lit(" "), (F.col("geonameid") % 1000 % 40).cast("string"))))
+    posts = b.table(spark, sf, "customer").select(
+        cust.alias("post_id"), F.array(named, F.when(key % 3 == 0, F.concat(F.lit("nation_"), key.cast("string"))).otherwise(F.concat(F.lit("N"), key.cast("string"))), named).alias("locations"))
+    done = places.resolve_all(posts, gaz, b.states(spark, sf), "post_id", "cascade", context=True)
+    return done.select("post_id", "pos", "mention", *resolved_columns())
+
+
 @query
 def unresolved_mentions(spark, sf):
     found = b.mentions(spark, sf)
@@ -422,11 +450,10 @@ def best_match(spark, sf):
 @query
 def classify_place(spark, sf):
     """Every gazetteer record classified under its own name and under an unknown region."""
-    dim = state_array(b.states(spark, sf))
     rows = b.gazetteer(spark, sf).select(
         F.explode(F.array("name", F.concat(F.lit("upper "), F.lower("name")))).alias("mention"), places.place_struct()
     )
-    done = rows.withColumn("resolved", places.classify_place("mention", "place", dim))
+    done = places.classify_places(rows, b.states(spark, sf))
     return done.select(F.col("place.geonameid").alias("geonameid"), "mention", *resolved_columns())
 
 
@@ -900,5 +927,132 @@ def stream_dedup(spark, sf):
     return crisis.read_rows(spark, out).drop("batch")
 
 
+def _window_query(spark: SparkSession, sf: str, windows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Events delivered part by part, some of them late; every part is a run that resumes the one before."""
+    feed, out, check = (scratch_path(spark, n) for n in ("feed", "windows", "check"))
+    events = b.table(spark, sf, "events")
+    day = F.unix_date(F.col("ts").cast("date"))
+    first, last = events.agg(F.min(day), F.max(day)).head()
+    if first is None:
+        first = last = 0
+    age = day - F.lit(first)
+    late = (F.col("event_id") % 10 == 0) & (age < 5)
+    final = max(2, (last - first) // 10)
+    part = F.when(late, F.lit(final)).otherwise(F.floor(age / 10))
+    for number in range(final + 1):
+        events.where(part == number).write.mode("append").parquet(feed)
+        stream = crisis.read_table_feed(spark, feed, b.TABLES["events"], "*.parquet")
+        windowing.append_windows(windows(stream), out, check)
+    return spark.read.parquet(out)
+
+
+@query
+def windowed_counts(spark, sf):
+    """Six-hour windows by kind of event."""
+    return _window_query(spark, sf, lambda s: windowing.window_counts(s, "ts", "6 hours", "2 days", ["event_type"], "value"))
+
+
+@query
+def sliding_counts(spark, sf):
+    """Windows of a day that begin every twelve hours."""
+    return _window_query(spark, sf, lambda s: windowing.window_counts(s, "ts", "24 hours", "2 days", value="value", slide="12 hours"))
+
+
+@query
+def session_counts(spark, sf):
+    """Sessions of a user, apart by two hours without any event."""
+    return _window_query(spark, sf, lambda s: windowing.session_counts(s, "ts", "2 hours", "2 days", ["user_id"], "value"))
+
+
+@query
+def live_loop(spark, sf):
+    """Posts of the feed, which have links and no other id, through tagging, place lookup, store and counts.
+
+    Two runs, the second one resuming the first after the counts were folded. Each group of the
+    running counts comes with the number of its stored posts.
+    """
+    feed, check = scratch_path(spark, "feed"), scratch_path(spark, "check")
+    store = crisis.live_store(spark, scratch_path(spark, "live"))
+    posts = b.posts(spark, sf).drop("post_id")
+    dicts = doc_dicts(spark, sf)
+    schema = "author string, created_at string, text string, uri string"
+    # Copies of a text have one length and meet in one run.
+    for part in (0, 1):
+        posts.where(F.length("text") % 2 == part).write.mode("append").parquet(feed)
+        stream = crisis.read_table_feed(spark, feed, schema, "*.parquet")
+        crisis.run_available(stream, crisis.live_batch(dicts, store), check)
+        crisis.fold_counts(store)
+    stored = counts.single_disaster(store.read("posts")).groupBy(*counts.KEYS).agg(F.count("*").alias("stored"))
+    return show_counts(crisis.live_counts(store).join(stored, counts.KEYS, "left"))
+
+
+@query
+def stream_dedup_across(spark, sf):
+    """Copies of a text in either of two deliveries go, as the watermark is not past them."""
+    feed, check, out = (scratch_path(spark, n) for n in ("feed", "check", "unique"))
+    docs = b.table(spark, sf, "documents")
+    for part in (0, 1):
+        docs.where(F.col("doc_id") % 2 == part).write.mode("append").parquet(feed)
+        stream = crisis.read_table_feed(spark, feed, b.TABLES["documents"], "*.parquet")
+        timed = stream.select("text", F.timestamp_seconds("doc_id").alias("moment"))
+        crisis.run_available(crisis.dedup_stream(timed, "moment", "10000 days"), crisis.rows_sink(out), check)
+    return crisis.read_rows(spark, out).select("text")
+
+
+@query
+def batch_callback(spark, sf):
+    """A user's own function sees every batch of posts; here it stores links of one line each."""
+    path, out = scratch_path(spark, "commits"), scratch_path(spark, "seen")
+    b.commits(spark, sf).write.json(path)
+    stream = crisis.read_feed(spark, path, schemas.COMMIT)
+
+    def callback(batch: DataFrame) -> None:
+        rows = post_ops.flatten_post(post_ops.create_records(batch))
+        rows.select("uri", scalars.one_line("text").alias("line")).write.mode("append").parquet(out)
+
+    crisis.run_available(stream, crisis.for_each_batch(callback), scratch_path(spark, "check"))
+    return spark.read.parquet(out)
+
+
+@query
+def merge_fresh_start(spark, sf):
+    """Running counts without a previous state, with an empty one, and with an empty batch."""
+    rows = cut(counts.crisis_counts(b.single_reports(spark, sf)))
+    none = rows.where("false")
+    made = {
+        "absent": counts.merge_counts(snapshots.read_snapshot(spark, scratch_path(spark, "none")), rows),
+        "empty": counts.merge_counts(none, rows),
+        "no_batch": counts.merge_counts(rows, none),
+        "nothing": counts.merge_counts(none, none),
+    }
+    parts = [df.withColumn("start", F.lit(name)) for name, df in made.items()]
+    return show_counts(repair.union_posts(*parts))
+
+
+def _two_runs(spark: SparkSession, sf: str, handle: Callable[[DataFrame], None]) -> None:
+    """Orders in two deliveries; ``handle`` works off what is there after each."""
+    path = scratch_path(spark, "orders")
+    orders = b.table(spark, sf, "orders")
+    for part in (F.col("o_orderstatus") == "F", F.col("o_orderstatus") != "F"):
+        orders.where(part).write.mode("append").parquet(path)
+        handle(crisis.read_table_feed(spark, path, b.TABLES["orders"], "*.parquet"))
+
+
+@query
+def stream_keyed_counts(spark, sf):
+    """Exact running counts from the stream's own state, over a restart."""
+    store, check = Store(spark, scratch_path(spark, "keyed"), {"totals": keyed.TOTALS}), scratch_path(spark, "check")
+    _two_runs(spark, sf, lambda feed: keyed.run_keyed(keyed.keyed_totals(_order_reports(feed)), store, "totals", check))
+    return show_counts(keyed.keyed_counts(store))
+
+
+@query
+def stream_keyed_means(spark, sf):
+    """The halving average from the stream's own state, over a restart."""
+    store, check = Store(spark, scratch_path(spark, "keyed"), {"levels": keyed.LEVELS}), scratch_path(spark, "check")
+    _two_runs(spark, sf, lambda feed: keyed.run_keyed(keyed.keyed_levels(_order_reports(feed)), store, "levels", check))
+    return keyed.latest_levels(store.read("levels"))
+
+
 QUERIES["match_exact"] = QUERIES.pop("match_exact_lists")
 QUERIES["match_partial"] = QUERIES.pop("match_partial_lists")

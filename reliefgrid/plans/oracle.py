@@ -958,3 +958,87 @@ ORACLE["stream_merge"] = ORDER_COUNTS
 ORACLE["stream_dedup"] = (
     "SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"
 )
+
+
+def arrived(spans: str) -> str:
+    """Events that are not late, and the moment that the watermark has reached at the end."""
+    return f"""
+WITH aged AS (
+  SELECT *, CAST(ts AS DATE) - (SELECT min(CAST(ts AS DATE)) FROM events) AS age FROM events WHERE ts IS NOT NULL
+),
+mark AS (SELECT max(ts) - INTERVAL 2 DAY AS reached FROM aged),
+kept AS (SELECT * FROM aged WHERE NOT (event_id % 10 = 0 AND age < 5)),
+{spans}"""
+
+
+WINDOWED = "count(*) AS count, CAST(sum(" + units("value") + ") AS BIGINT) AS units"
+ORACLE["windowed_counts"] = arrived(
+    "spans AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') AS window_start FROM kept)"
+) + f"""
+SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, event_type, {WINDOWED} FROM spans
+WHERE window_start + INTERVAL 6 HOUR <= (SELECT reached FROM mark) GROUP BY ALL"""
+ORACLE["sliding_counts"] = arrived(
+    "spans AS (SELECT *, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01') - INTERVAL 12 HOUR * n AS window_start FROM kept, range(0, 2) AS t(n))"
+) + f"""
+SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, {WINDOWED} FROM spans
+WHERE window_start + INTERVAL 24 HOUR <= (SELECT reached FROM mark) GROUP BY ALL"""
+ORACLE["session_counts"] = arrived(
+    """gaps AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS opens FROM kept),
+spans AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM gaps)"""
+) + f"""
+SELECT * EXCLUDE (session) FROM (
+  SELECT min(ts) AS window_start, max(ts) + INTERVAL 2 HOUR AS window_end, user_id, session, {WINDOWED} FROM spans GROUP BY user_id, session)
+WHERE window_end <= (SELECT reached FROM mark)"""
+ORACLE["live_loop"] = ORACLE["filtered_posts"].replace("SELECT author, created_at, post_id,", ", stored_posts AS (SELECT author, created_at, post_id,", 1) + ")," + count_groups(
+    "stored_posts", "counted", disaster="split_part(disasters, '|', 1)") + "," + with_severity("counted", "snapshot") + f"""
+SELECT {COUNT_LIST.replace("city_list", "list_filter(city_list, lambda c: c <> '')")}, severity, count AS stored FROM snapshot"""
+ORACLE["stream_keyed_counts"] = ORDER_COUNTS
+ORACLE["stream_keyed_means"] = f"""
+WITH means AS (
+  SELECT CASE WHEN o_orderstatus <> 'P' THEN 'US' END AS country, 'State ' || month(o_orderdate) AS state, o_orderpriority AS disasters,
+    o_orderstatus <> 'F' AS second, count(*) AS n, CAST(round_even(sum({units("((CAST(round(o_totalprice * 100) AS BIGINT) % 2001) - 1000) / 1000")}) / (count(*) * 1000000) * 100, 0) AS INTEGER) AS c
+  FROM orders GROUP BY ALL
+)
+SELECT country, state, disasters, CAST(sum(n) AS BIGINT) AS count,
+  CASE WHEN count(*) = 1 THEN max(c) ELSE round_even(sum(c) / 2, 0) END / 100 AS avg_sentiment
+FROM means WHERE country IS NOT NULL GROUP BY country, state, disasters"""
+COUNTED_STATES = with_(REPORTS, count_groups("reports", "counted"))
+ORACLE["state_file_gate"] = COUNTED_STATES + """, total AS (SELECT count(*) AS n FROM counted)
+SELECT 'good' AS name, 'good' AS status, n AS row_count, 'severity' AS missing_columns, '' AS empty_columns, n = 0 AS start_over FROM total
+UNION ALL SELECT 'thin', 'good', n, 'count|cities|severity', 'avg_sentiment', n = 0 FROM total
+UNION ALL VALUES ('headerless', 'headerless', 0, '', '', true), ('semicolon', 'wrong_delimiter', 0, '', '', true),
+  ('binary', 'binary', 0, '', '', true), ('empty', 'empty', 0, '', '', true), ('missing', 'missing', 0, '', '', true)"""
+CONTEXT = """
+ctx AS (
+  SELECT c_custkey AS post_id, unnest(range(0, 3)) AS pos, unnest([m, s, m]) AS mention FROM (
+    SELECT c_custkey, lower(c_mktsegment) || ' ' || (c_custkey % 1000 % 40) AS m,
+      CASE WHEN c_nationkey % 3 = 0 THEN 'nation_' ELSE 'N' END || c_nationkey AS s FROM customer)
+),
+mentions AS (SELECT DISTINCT mention FROM ctx)"""
+ORACLE["place_in_context"] = with_(
+    GAZETTEER.replace("gaz AS (", "gaz0 AS (") + """,
+gaz AS (SELECT * REPLACE (list_transform(alts, lambda a: split_part(a, ' ', 1) || ' ' || (geonameid % 1000 % 40)) AS alts) FROM gaz0)""",
+    STATES, CONTEXT, CASCADE, classified(),
+    f"""
+hinted AS (
+  SELECT x.post_id, x.pos, x.mention, trim(x.mention) AS norm, states.code AS hint
+  FROM ctx x JOIN ctx y ON y.post_id = x.post_id AND y.pos = x.pos + 1 JOIN states ON lower(trim(y.mention)) IN (lower(states.code), lower(states.name))
+),
+inside AS (
+  SELECT mention, hint, stage, gaz.* FROM (SELECT DISTINCT mention, norm, hint FROM hinted) h
+  JOIN (SELECT geonameid AS id, 2 AS stage, name AS alt FROM gaz UNION ALL SELECT geonameid, 3, lower(trim(unnest(alts))) FROM gaz)
+    ON (stage = 2 AND alt = {title('norm')}) OR (stage = 3 AND length(norm) > 2 AND alt = lower(norm))
+  JOIN gaz ON geonameid = id AND stateCode = hint WHERE {IS_PPL} QUALIFY {fit('mention, hint', 'stage, ')}
+),
+settled AS (
+  SELECT i.mention, hint, i.name AS city, s.name AS state, CAST(NULL AS VARCHAR) AS region, countryCode AS country, latitude, longitude
+  FROM inside i JOIN states s ON s.code = hint
+)""",
+) + f"""
+SELECT ctx.post_id, ctx.pos, ctx.mention, {', '.join(f'CASE WHEN t.hint IS NULL THEN r.{c} ELSE t.{c} END AS {c}' for c in RESOLVED.split(', '))}
+FROM ctx JOIN resolved r ON r.mention = ctx.mention
+LEFT JOIN hinted h ON h.post_id = ctx.post_id AND h.pos = ctx.pos LEFT JOIN settled t ON t.mention = h.mention AND t.hint = h.hint"""
+ORACLE["stream_dedup_across"] = "SELECT DISTINCT text FROM documents"
+ORACLE["batch_callback"] = FLAT.format(cols="uri, replace(text, chr(10), ' ') AS line")
+ORACLE["merge_fresh_start"] = COUNTED_STATES + f"""
+SELECT start, {COUNT_LIST} FROM counted, (VALUES ('absent'), ('empty'), ('no_batch')) AS t(start)"""

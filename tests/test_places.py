@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from reliefgrid.operators import places
 from reliefgrid.operators.joins import lookup_join
-from reliefgrid.sources.states import state_array, us_states
+from reliefgrid.sources.states import STATE_SCHEMA, us_states
 
 GAZ = "geonameid long, name string, alternate_list array<string>, countryCode string, stateCode string, " \
       "latitude double, longitude double, featureCode string, population long"
@@ -28,11 +28,6 @@ def gaz(spark):
     return spark.createDataFrame(ROWS, GAZ).cache()
 
 
-@pytest.fixture(scope="module")
-def dim(spark):
-    return state_array(us_states(spark))
-
-
 def resolve(spark, gaz, texts, mode="cascade"):
     mentions = spark.createDataFrame([(t,) for t in texts], "mention string")
     rows = places.resolve_mentions(mentions, gaz, us_states(spark), mode).select("mention", "resolved.*").collect()
@@ -61,12 +56,54 @@ def test_cascade_rules(spark, gaz):
     assert got["Lake Erie"] == (None, None, "Lake Erie")
 
 
-def test_longest_region(spark, dim):
-    row = spark.range(1).select(
-        places.region_state(F.lit("West Virginia Panhandle"), dim)["name"].alias("a"),
-        places.region_state(F.lit("West Virginia Panhandle"), dim, longest_match=True)["name"].alias("b"),
-    ).first()
-    assert tuple(row) == ("Virginia", "West Virginia")
+def test_longest_region(spark):
+    regions = spark.createDataFrame([("West Virginia Panhandle",), ("Nowhere",), (None,)], "region string")
+    first, longest = (places.region_states(regions, us_states(spark), x).collect() for x in (False, True))
+    assert [(r.region, r.hit.name) for r in first] == [("West Virginia Panhandle", "Virginia")]
+    assert [(r.region, r.hit.name) for r in longest] == [("West Virginia Panhandle", "West Virginia")]
+
+
+def test_fifty_thousand_states(spark, gaz):
+    """Any number of states, some without code or name, against plain containment."""
+    rng = random.Random(8)
+    rows = [(i, f"S{i}", f"{rng.choice('abcdefgh')}{i:05d}{rng.choice('xyz')}", float(i), -float(i)) for i in range(50_000)]
+    rows += [(50_000, None, "nocode", 0.0, 0.0), (50_001, "NN", None, 0.0, 0.0), (50_002, "ab", "Ab", 1.0, 1.0), (50_003, "e", "", 1.0, 1.0)]
+    states = spark.createDataFrame(rows, STATE_SCHEMA)
+    texts = [f"the {rows[i][2].upper()} and {rows[i // 2][2]} side" for i in range(0, 50_000, 997)] + ["nocode", "crab nebula", "zzz", ""]
+    regions = spark.createDataFrame([(t,) for t in texts], "region string")
+    names = [(o, n) for o, c, n, _, _ in rows if c and n]
+    for longest in (False, True):
+        want = {}
+        for t in texts:
+            fits = [(o, n) for o, n in names if n.lower() in t.lower()]
+            if fits:
+                want[t] = min(fits, key=(lambda x: (-len(x[1]), x[0])) if longest else (lambda x: x[0]))[1]
+        assert {r.region: r.hit.name for r in places.region_states(regions, states, longest).collect()} == want
+    mentions = spark.createDataFrame([("s7",), (" S49999 ",), ("nn",), (rows[3][2].upper(),)], "mention string")
+    assert {r.mention: r.is_state for r in places.mark_states(mentions, states).collect()} == {
+        "s7": True, " S49999 ": True, "nn": False, rows[3][2].upper(): True}
+
+
+def test_next_mention_narrows_to_its_state(spark):
+    towns = [
+        (1, "Springfield", ["springtown"], "US", "IL", 39.8, -89.6, "PPLA", 100),
+        (2, "Springfield", ["springtown"], "US", "OR", 44.0, -123.0, "PPL", 50),
+        (3, "Springfield", [], "US", "MO", 37.2, -93.3, "PPL", 900),
+        (4, "Springfield", [], "US", "OR", 44.0, -123.0, "LK", 5000),
+    ]
+    gaz = spark.createDataFrame(towns, GAZ)
+    posts = spark.createDataFrame([
+        (1, ["Springfield", "Illinois"]), (2, ["Springfield", "oregon"]), (3, ["Springfield", "Houston"]), (4, ["Springfield", "TX"]),
+        (5, ["springtown", "OR", "Springfield"]), (6, []), (7, None), (8, ["Oregon", "Illinois"])], "post_id int, locations array<string>")
+    rows = places.resolve_all(posts, gaz, us_states(spark), "post_id", "cascade", context=True).collect()
+    got = {(r.post_id, r.pos): (r.resolved.city, r.resolved.state) for r in rows}
+    assert got[1, 0] == ("Springfield", "Illinois") and got[2, 0] == ("Springfield", "Oregon")
+    # Without a state behind it, or without a town there, population decides.
+    assert got[3, 0] == got[4, 0] == got[5, 2] == ("Springfield", "Missouri")
+    assert got[5, 0] == ("Springfield", "Oregon")
+    plain = places.resolve_all(posts, gaz, us_states(spark), "post_id", "cascade").collect()
+    assert {(r.post_id, r.pos) for r in plain} == set(got)
+    assert {r.resolved.state for r in plain if r.mention == "Springfield"} == {"Missouri"}
 
 
 def test_exact_and_two_stage(spark, gaz):
@@ -82,7 +119,7 @@ def test_exact_and_two_stage(spark, gaz):
 
 
 def test_contains_lookup_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(places, "HOT_GRAM_SHARE", 0.01)
+    monkeypatch.setattr(places, "BLOCK_ROWS", 7)
     rng = random.Random(11)
     words = ["ville", "town", "spring", "san", "port", "lake", "über", "a%b", "_x"]
     rows = []
@@ -107,12 +144,11 @@ def test_lookup_join_with_hot_and_missing_keys(spark, no_broadcast):
     keys = ["hot"] * 500 + [None] * 300 + [f"k{i}" for i in range(200)] + ["gone"] * 100
     left = spark.createDataFrame(list(enumerate(keys)), "i int, k string")
     right = spark.createDataFrame([("hot", 1), ("k3", 3), ("k7", 7), ("extra", 9)], "k string, v int")
-    for share in (0.2, 0.0001, 1.0):
-        got = {r["i"]: r["v"] for r in lookup_join(left, right, "k", "left", share).collect()}
-        want = {i: {"hot": 1, "k3": 3, "k7": 7}.get(k) for i, k in enumerate(keys)}
-        assert got == want
-        kept = lookup_join(left, right, "k", "inner", share).collect()
-        assert sorted(r["i"] for r in kept) == [i for i, v in want.items() if v is not None]
+    got = {r["i"]: r["v"] for r in lookup_join(left, right, "k", "left").collect()}
+    want = {i: {"hot": 1, "k3": 3, "k7": 7}.get(k) for i, k in enumerate(keys)}
+    assert got == want
+    kept = lookup_join(left, right, "k", "inner").collect()
+    assert sorted(r["i"] for r in kept) == [i for i, v in want.items() if v is not None]
 
 
 def test_standardize_keeps_only_places_with_state(spark, gaz, no_broadcast):
