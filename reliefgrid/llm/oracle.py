@@ -58,25 +58,25 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
 _OP5 = rf"""
-WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 cuts AS (
-  SELECT doc_id, 'assign' AS kind, 0 AS k, regexp_extract_all(text, '{_ASSIGN}') AS m, regexp_split_to_array(text, '{_ASSIGN}') AS p FROM docs
-  UNION ALL SELECT doc_id, 'access', 1, regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_split_to_array(text, 'AKIA[A-Z0-9]+') FROM docs
-  UNION ALL SELECT doc_id, 'hex', 2, regexp_extract_all(text, '[0-9a-f]+'), regexp_split_to_array(text, '[0-9a-f]+') FROM docs),
-each AS (SELECT doc_id, kind, k, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS found, unnest(p[1:len(m)]) AS gap FROM cuts),
+  SELECT row, 'assign' AS kind, 0 AS k, regexp_extract_all(text, '{_ASSIGN}') AS m, regexp_split_to_array(text, '{_ASSIGN}') AS p FROM docs
+  UNION ALL SELECT row, 'access', 1, regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_split_to_array(text, 'AKIA[A-Z0-9]+') FROM docs
+  UNION ALL SELECT row, 'hex', 2, regexp_extract_all(text, '[0-9a-f]+'), regexp_split_to_array(text, '[0-9a-f]+') FROM docs),
+each AS (SELECT row, kind, k, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS found, unnest(p[1:len(m)]) AS gap FROM cuts),
 placed AS (
-  SELECT *, sum(length(gap) + length(found)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM each),
+  SELECT *, sum(length(gap) + length(found)) OVER (PARTITION BY row, kind ORDER BY i) AS stop FROM each),
 kept AS (
-  SELECT doc_id, kind, k, (stop - length(found))::BIGINT AS start, stop::BIGINT AS stop FROM placed
+  SELECT row, kind, k, (stop - length(found))::BIGINT AS start, stop::BIGINT AS stop FROM placed
   WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(found, '{_ASSIGN}', 2)) >= 6
     WHEN 'access' THEN length(found) >= 20 ELSE length(found) >= 24 END),
 listed AS (
-  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+  SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
     count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans
-  FROM kept GROUP BY doc_id)
+  FROM kept GROUP BY row)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
   sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM docs LEFT JOIN listed USING (doc_id)
+FROM docs LEFT JOIN listed USING (row)
 """
 
 _DISTANCE = "list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.c[i]) * (v.e[i] - c.c[i])))::HUGEINT"
