@@ -181,7 +181,7 @@ listed AS (
     string_agg(kind || ':' || begin || ':' || stop, ',' ORDER BY number, begin) AS spans FROM every GROUP BY blob)
 SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
   sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM documents LEFT JOIN listed ON blob = sha256(coalesce(text, ''))
+FROM (SELECT doc_id, sha256(coalesce(text, '')) AS address FROM documents) LEFT JOIN listed ON blob = address
 """
 
 # Letters beyond ASCII as one byte each, since editing distance is counted in bytes here.
