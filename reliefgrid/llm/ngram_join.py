@@ -381,11 +381,12 @@ def ngram_jaccard_join(
     totals = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
     often = (
         profile.where("kind = 1").groupBy("fp").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= max(2, totals[0] // SHARE)).toPandas()
+        .where(F.col("n") >= max(2, totals[0] // SHARE)).toArrow()
     )
-    hashes = often["fp"].to_numpy(np.int64).view(np.uint64)
+    hashes = often.column("fp").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    frequent = spark.sparkContext.broadcast((hashes[order], often["n"].to_numpy(np.int64)[order], max(256, totals[0] // SPREAD)))
+    frequent = spark.sparkContext.broadcast((hashes[order], often.column("n").to_numpy().astype(np.int64)[order], max(256, totals[0] // SPREAD)))
+    del often, hashes, order
 
     buckets = max(16, int(totals[1] * (AGREED * (100 - percent) + 100 * percent) // (100 * AGREED) // BUCKET) + 1)
     postings = texts.mapInArrow(
@@ -396,6 +397,8 @@ def ngram_jaccard_join(
         postings.repartition(buckets, "bucket").mapInArrow(partial(_blocks, percent=percent), "block long, fp long, weight long")
         .groupBy("block", "fp").agg(F.sum("weight").alias("weight"))
     )
+    # The blocks are written, so nothing reads the list again.
+    frequent.destroy()
 
     classes = cut(rows.where("n > 0 and id is not null").groupBy("fp", "fp2", "n").agg(F.min("id").alias("class")))
     # The partner of a class can be smaller than the class; what both share follows from the smaller one.
