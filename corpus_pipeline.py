@@ -13,17 +13,25 @@ from reliefgrid.session import cut, scratch_path
 ORACLE_SQL = None
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` under names that no operator uses, and those of the id and the text."""
+    names = [f"column{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels of these documents, does not reject."""
     reach(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, keep=tuple(docs.columns))
-    return scored.where(F.col("score") < toxicity.CUT).select(docs.columns)
+    rows, _, text = _renamed(docs)
+    scored = toxicity.score(rows, model, text_col=text, keep=tuple(rows.columns))
+    return scored.where(F.col("score") < toxicity.CUT).select(rows.columns).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component; of rows with one id, one stays.
 
+    Of those it is the row whose columns have the smallest hash, so a retry keeps the same one.
     Rows without id belong to no component and stay.
     """
     reach(spark)
@@ -34,20 +42,24 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if repeated.isEmpty():
         return kept
     single = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    return single.unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    rows, key, _ = _renamed(kept.join(repeated, "doc_id", "left_semi").select(docs.columns))
+    one = rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), F.xxhash64(*rows.columns)).alias("row")).select("row.*")
+    return single.union(one.select(rows.columns).toDF(*docs.columns))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     reach(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, benchmark, keep=tuple(docs.columns))
-    return found.where(~F.col("contaminated")).select(docs.columns)
+    rows, _, text = _renamed(docs)
+    found = decontaminate.contamination(rows, benchmark, text_col=text, keep=tuple(rows.columns))
+    return found.where(~F.col("contaminated")).select(rows.columns).toDF(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by their kinds; ``n_chars`` follows the text."""
-    clean = secrets.redact(docs, scratch_path(spark, "ledger"))
+    rows, key, text = _renamed(docs)
+    clean = secrets.redact(rows, scratch_path(spark, "ledger"), id_col=key, text_col=text).toDF(*docs.columns)
     return clean.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(docs.columns)
 
 
