@@ -44,9 +44,10 @@ def probe_files(spark: SparkSession, root: str, names: Sequence[str], expected:
     only; a line break inside quotes counts as a line. Anything but a good file with rows starts over.
     """
     wanted = spark.createDataFrame([(n,) for n in names], "name string")
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(
-        _name("path", root).alias("name"), "length")
-    held = listed.groupBy("name").agg(F.sum("length").alias("bytes"))
+    # A scan does not show files without bytes; the listing that Spark holds of the folder does.
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).inputFiles()
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").select(_name("path", root).alias("name"))
+    held = listed.join(wanted, "name", "left_semi").groupBy("name").agg(F.count("*").alias("files"))
     lines = _lines(spark, root).join(F.broadcast(wanted), "name")
     shown = F.length(F.trim("value")) > 0
     odd = ~F.is_valid_utf8("value") | F.contains("value", F.lit("\u0000"))
@@ -64,7 +65,7 @@ def probe_files(spark: SparkSession, root: str, names: Sequence[str], expected:
     # The worst part of a state decides; empty parts do so only where there are no others.
     status = rated.groupBy("name").agg(F.substring(F.min("status"), 3, 99).alias("status"))
     known = wanted.join(held, "name", "left").join(status, "name", "left").select(
-        "name", F.when(F.col("bytes").isNull(), "missing").otherwise(F.coalesce("status", F.lit("empty"))).alias("status"))
+        "name", F.when(F.col("files").isNull(), "missing").otherwise(F.coalesce("status", F.lit("empty"))).alias("status"))
 
     good = rated.where(F.col("status") == "4 good").join(known.where(F.col("status") == "good").select("name"), "name")
     heads = good.select("name", "part", "first", _fields("head", sep).alias("fields"))
