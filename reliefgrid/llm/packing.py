@@ -13,9 +13,10 @@ import math
 from bisect import bisect_left, insort
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reliefgrid.llm.tokenfiles import read_documents
 from reliefgrid.session import cut
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -100,6 +101,38 @@ def _packed(pieces: DataFrame, capacities: tuple[int, ...], group_size: int) ->
         fill, "id long, piece long, n_pieces long, length long, bin_id long, bin_capacity long, bin_used long, place long")
 
 
+def pack_tokens(spark: SparkSession, tokens: str, out: str, capacities: tuple[int, ...] = CAPACITIES, group_size: int = GROUP) -> None:
+    """Packs the documents of token files into sequences of ids and writes them to ``out``.
+
+    A row is a sequence: ``bin_id, bin_capacity, bin_used``, its ``ids`` side by side, and for each
+    piece in ``parts`` the document's id, its first id's place in the whole stream (which tells
+    documents of one id apart), the piece's number, its place in the sequence and its length.
+    """
+    # Documents are known by where they start; written out, as sizes and ids are read apart.
+    docs = cut(read_documents(spark, tokens))
+    pieces = pack(docs, "start", F.col("n_tokens"), capacities, group_size)
+    largest = max(capacities)
+    own = pieces.join(docs.select(F.col("start").alias("id"), "doc_id", "ids"), "id").select(
+        "bin_id", "bin_capacity", "bin_used",
+        F.struct("place", "doc_id", F.col("id").alias("start"), "piece", "length", F.slice(
+            "ids", (F.col("piece") * largest + 1).cast("int"), F.col("length").cast("int")).alias("ids")).alias("p"))
+    # A sequence holds no more than the largest capacity.
+    bins = own.groupBy("bin_id", "bin_capacity", "bin_used").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    bins.select(
+        "bin_id", "bin_capacity", "bin_used", F.flatten("p.ids").alias("ids"),
+        F.transform("p", lambda p: F.struct(p["doc_id"], p["start"], p["piece"], p["place"], p["length"])).alias("parts"),
+    ).write.parquet(out)
+
+
+def unpack_tokens(spark: SparkSession, packed: str) -> DataFrame:
+    """``doc_id, start, ids`` of every document of packed sequences."""
+    rows = spark.read.parquet(packed)
+    each = rows.select("ids", F.explode("parts").alias("p")).select(
+        "p.doc_id", "p.start", "p.piece", F.slice("ids", (F.col("p.place") + 1).cast("int"), F.col("p.length").cast("int")).alias("ids"))
+    joined = each.groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("own"))
+    return joined.select("doc_id", "start", F.flatten("own.ids").alias("ids"))
+
+
 def word_count(text: Column) -> Column:
     """Words between white space, and one for the end mark; the length used where no tokens are at hand."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]+", "x")

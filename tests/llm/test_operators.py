@@ -416,6 +416,20 @@ def test_packing(spark):
     assert [r[0] for r in spark.createDataFrame([("a  b\nc",), (None,), ("",)], "t string").select(packing.word_count(F.col("t"))).collect()] == [4, 1, 1]
 
 
+def test_packed_tokens_read_back(spark):
+    """Sequences of ids hold every document whole and in order, also under one id and over several pieces."""
+    texts = [*_texts(7), "word " * 900, "word " * 900, None, ""]
+    docs = spark.createDataFrame([(i if i % 5 else 7, t, 1, 1) for i, t in enumerate(texts)], "doc_id long, text string, place int, ids int")
+    tokens, out = scratch_path(spark, "tokens"), scratch_path(spark, "packed")
+    tokenfiles.write_token_files(docs, tokens, VOCABULARY)
+    packing.pack_tokens(spark, tokens, out, capacities=(64, 256, 512), group_size=16)
+    read = lambda df: sorted((r.doc_id, r.start, r.ids) for r in df.select("doc_id", "start", "ids").collect())
+    assert read(packing.unpack_tokens(spark, out)) == read(tokenfiles.read_documents(spark, tokens))
+    for row in spark.read.parquet(out).collect():
+        assert len(row.ids) == row.bin_used <= row.bin_capacity
+        assert [p.place for p in row.parts] == [sum(q.length for q in row.parts[:i]) for i in range(len(row.parts))]
+
+
 def test_packing_of_equal_rows(spark):
     rows = [(None, 100)] * 2000 + [(7, 300)] * 1000 + [(i, 50) for i in range(1000)]
     docs = spark.createDataFrame(rows, "doc_id long, size long")
