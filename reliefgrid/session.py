@@ -56,6 +56,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_MADE: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the tables that ``cut`` wrote in this process so far; how many there were.
+
+    Call it when a job's results are stored: frames that read those tables are of no use afterwards.
+    """
+    paths, _MADE[:] = list(_MADE), []
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a frame that several branches read as a table in the shared folder.
 
@@ -63,5 +78,6 @@ def cut(df: DataFrame) -> DataFrame:
     choose joins before shuffling anything.
     """
     path = scratch_path(df.sparkSession, "table")
+    _MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
