@@ -284,6 +284,16 @@ def doc_gazetteer(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def word_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of eight letters and more of the benchmark passages, and pairs of shorter ones, under a name by their length."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    pairs = F.transform(words, lambda w, i: F.struct(w.alias("w"), F.get(words, i + 1).alias("nxt")))
+    rows = table(spark, sf, "benchmark").select(F.explode(pairs).alias("p")).select("p.*")
+    single = rows.where(F.length("w") >= 8).select(F.col("w").alias("synonym"))
+    double = rows.where((F.length("w") >= 4) & (F.length("nxt") >= 4)).select(F.concat_ws(" ", "w", "nxt").alias("synonym"))
+    return single.unionByName(double).distinct().select(_digits("K", F.length("synonym") % 7).alias("canonical"), "synonym")
+
+
 def _inline(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     """A word list as an inline table, whose size Spark knows."""
     listed = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}D" for v in r) + ")" for r in rows)

@@ -502,6 +502,13 @@ def tag_disasters_joined(spark, sf):
     return tagged.select("post_id", joined("disasters").alias("disasters"))
 
 
+@query
+def tag_from_table(spark, sf):
+    """Tags from a taxonomy that grows with the tables: long words of the passages, and pairs of words."""
+    tagged = tagging.tag_disasters_joined(cleaned_posts(spark, sf), b.word_taxonomy(spark, sf), "post_id")
+    return tagged.select("post_id", joined("disasters").alias("disasters"))
+
+
 @query
 def tag_places(spark, sf):
     names = tagging.place_names(b.doc_gazetteer(spark, sf))

@@ -1042,3 +1042,24 @@ ORACLE["stream_dedup_across"] = "SELECT DISTINCT text FROM documents"
 ORACLE["batch_callback"] = FLAT.format(cols="uri, replace(text, chr(10), ' ') AS line")
 ORACLE["merge_fresh_start"] = COUNTED_STATES + f"""
 SELECT start, {COUNT_LIST} FROM counted, (VALUES ('absent'), ('empty'), ('no_batch')) AS t(start)"""
+WORD_TAXONOMY = """
+lists AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+neighbours AS (SELECT w[i] AS w, w[i + 1] AS nxt FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM lists)),
+taxonomy AS (
+  SELECT synonym, 'K' || (length(synonym) % 7) AS tag FROM (
+    SELECT w AS synonym FROM neighbours WHERE length(w) >= 8
+    UNION SELECT w || ' ' || nxt FROM neighbours WHERE length(w) >= 4 AND length(nxt) >= 4)
+),
+variants AS (
+  SELECT gram, min(tag) AS tag FROM (
+    SELECT synonym AS gram, tag FROM taxonomy
+    UNION ALL SELECT synonym || 's', tag FROM taxonomy
+    UNION ALL SELECT replace(synonym, ' ', 's '), tag FROM taxonomy WHERE contains(synonym, ' ')
+    UNION ALL SELECT replace(synonym, ' ', 's ') || 's', tag FROM taxonomy WHERE contains(synonym, ' ')
+  ) GROUP BY gram
+)"""
+ORACLE["tag_from_table"] = with_(CLEANED, WORD_TAXONOMY, spans("worded", "dspan", "variants"), """
+disasters AS (
+  SELECT id, array_to_string(list(tag ORDER BY first_p), '|') AS disasters
+  FROM (SELECT id, tag, min(p) AS first_p FROM dspan GROUP BY id, tag) GROUP BY id
+)""") + "SELECT worded.id AS post_id, coalesce(disasters, '') AS disasters FROM worded LEFT JOIN disasters USING (id)"
