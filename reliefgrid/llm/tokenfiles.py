@@ -89,35 +89,36 @@ class Encoder:
     def _learn(self, new: list) -> None:
         """Encodes new pieces: all that follow a space in one text, the first ones of texts alone."""
         known, n = len(self.memo) - len(new), len(self.memo)
-        ids: list[np.ndarray | None] = [None] * len(new)
-        tails = []
+        begins, sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        parts: list[np.ndarray] = []
+        heads, tails, at = [], [], self.used
         for i, piece in enumerate(new):
             text = piece if isinstance(piece, str) else piece[0]
             self.chars += len(text)
-            if not text or text[0].isspace() or text[-1].isspace():
-                ids[i] = np.zeros(0, np.uint32)
-            elif text is piece:
-                tails.append(i)
-        heads = [i for i, x in enumerate(ids) if x is None and not isinstance(new[i], str)]
+            if text and not text[0].isspace() and not text[-1].isspace():
+                (tails if text is piece else heads).append(i)
         for i, x in zip(heads, self.model.encode_batch_fast([new[i][0] for i in heads], add_special_tokens=False)):
-            ids[i] = np.array(x.ids, np.uint32)
+            parts.append(np.array(x.ids, np.uint32))
+            begins[i], sizes[i] = at, len(parts[-1])
+            at += len(parts[-1])
         for low in range(0, len(tails), 4096):
             part = tails[low:low + 4096]
             joined = np.array(self.model.encode(" " + " ".join([new[i] for i in part]), add_special_tokens=False).ids, np.uint32)
-            for i, own in zip(part, np.split(joined, np.flatnonzero(self.spaced[joined])[1:])):
-                ids[i] = own
+            first = np.flatnonzero(self.spaced[joined])
+            begins[part], sizes[part] = at + first, np.diff(np.append(first, len(joined)))
+            parts.append(joined)
+            at += len(joined)
         if n > len(self.size):
             more = max(n, 2 * len(self.size)) - len(self.size)
             self.begin, self.size, self.odd = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.begin, self.size, self.odd))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), np.uint32)])
-        self.flat[self.used:self.used + total] = np.concatenate(ids)
+        if at > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(at - self.used, len(self.flat)), np.uint32)])
+        if parts:
+            self.flat[self.used:at] = np.concatenate(parts)
         self.size[known:n] = sizes
-        self.begin[known:n] = self.used + np.cumsum(sizes) - sizes
+        self.begin[known:n] = begins
         self.odd[known:n] = sizes == 0
-        self.used += total
+        self.used = at
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.memo) > MEMO or self.chars > MEMO_CHARS:
