@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
@@ -14,3 +14,12 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left")
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
     return left.join(right, key, how).select(left.columns + [c for c in right.columns if c != key])
+
+
+def large_join(left: DataFrame, right: DataFrame, on: Column | str | list[str], how: str = "inner") -> DataFrame:
+    """Join of two tables that grow with the input, by sorting both sides: never broadcast.
+
+    Spark takes rows that were exploded, and columns that are small on disk, for smaller than they
+    are; broadcasting them would fill the driver.
+    """
+    return left.join(right.hint("merge"), on, how)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliefgrid.functions.text import title_case
-from reliefgrid.operators.joins import lookup_join
+from reliefgrid.operators.joins import large_join, lookup_join
 from reliefgrid.session import cut
 from reliefgrid.sources.states import known_states, state_keys, state_names
 
@@ -16,6 +16,8 @@ PLACE_FIELDS = [
 RESOLVED_FIELDS = ["city", "state", "region", "country", "latitude", "longitude"]
 
 GRAM = 3
+# Sizes of the grams that needles are looked up by: each by the largest that fits, so that long needles meet few texts.
+GRAM_SIZES = (GRAM, 4, 6, 8, 12, 16, 24, 32)
 # Postings, or needles, of a gram that meet in one task, about.
 BLOCK_ROWS = 100_000
 
@@ -68,20 +70,24 @@ def mark_states(mentions: DataFrame, states: DataFrame) -> DataFrame:
 
 def _grams(text: Column, size: int) -> Column:
     """Distinct substrings of one length."""
-    return F.array_distinct(F.transform(_placed_grams(text, size), lambda g: g["gram"]))
+    return F.array_distinct(_substrings(text, size))
 
 
-def _placed_grams(text: Column, size: int) -> Column:
-    """``at, gram`` of all substrings of one length, from one."""
+def _substrings(text: Column, size: Column | int) -> Column:
+    """All substrings of one length, in order."""
+    size = F.lit(size) if isinstance(size, int) else size
     places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1)))
-    return F.coalesce(
-        F.transform(places, lambda i: F.struct(i.alias("at"), F.substring(text, i, F.lit(size)).alias("gram"))),
-        F.array().cast("array<struct<at:int,gram:string>>"),
-    )
+    return F.coalesce(F.transform(places, lambda i: F.substring(text, i, size)), F.array().cast("array<string>"))
+
+
+def _placed_grams(text: Column, sizes: list[Column | int]) -> Column:
+    """``at, gram`` of all substrings of some lengths, from one; a gram is the hash of its text."""
+    every = [F.transform(_substrings(text, n), lambda g, i: F.struct((i + 1).cast("int").alias("at"), F.xxhash64(g).alias("gram"))) for n in sizes]
+    return F.concat(*every) if every else F.array().cast("array<struct<at:int,gram:bigint>>")
 
 
 def _pieces(n: str) -> Column:
-    return F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_ROWS)).cast("int")
+    return F.greatest(F.lit(1), F.ceil(F.coalesce(F.col(n), F.lit(0)) / BLOCK_ROWS)).cast("int")
 
 
 def contains_lookup(mentions: DataFrame, texts: DataFrame, shortest: int = 1) -> DataFrame:
@@ -89,44 +95,45 @@ def contains_lookup(mentions: DataFrame, texts: DataFrame, shortest: int = 1) ->
 
     ``mentions``: distinct ``(mention, needle)``, the needle in lower case. ``texts``:
     ``(hay, also, place)``. A posting is a gram, a text's number and the gram's place in it.
-    Each needle meets the postings of its rarest gram; the text must then hold the needle's next
-    rarest gram at the right distance, and what is left is verified. Postings and needles of a gram
-    that has many are dealt over a grid of pieces, so that no task gets all of either.
-    Needles shorter than a gram are grams themselves and meet the best place per gram;
-    ``shortest`` tells that there are none.
+    A needle is looked up by grams of the largest of ``GRAM_SIZES`` that fits; it meets the
+    postings of its rarest one, and the text must then hold the needle at that very place.
+    Postings and needles of a gram that has many are dealt over a grid of pieces, so that no task
+    gets all of either. Needles shorter than a gram are grams themselves and meet the best place
+    per gram; ``shortest`` tells that there are none.
     """
     # Written out, so that the numbers stay the same whoever reads them.
     numbered = cut(best_place(texts, "hay", "also").withColumn("text", F.monotonically_increasing_id()))
-    postings = numbered.select("text", F.explode(_placed_grams(F.col("hay"), GRAM)).alias("g")).select("text", "g.at", "g.gram")
+    fitting = F.array_max(F.filter(F.array(*[F.lit(n) for n in GRAM_SIZES]), lambda n: n <= F.length("needle")))
+    long_ones = cut(mentions.where(F.length("needle") >= GRAM).select("mention", "needle", fitting.alias("size")))
+    # At most as many numbers as there are sizes.
+    used = sorted(r[0] for r in long_ones.select("size").distinct().collect())
+    postings = numbered.select("text", F.explode(_placed_grams(F.col("hay"), used)).alias("g")).select("text", "g.at", "g.gram")
     sizes = cut(postings.groupBy("gram").agg(F.count("*").alias("n")))
 
-    long_ones = mentions.where(F.length("needle") >= GRAM)
+    asked = long_ones.select("mention", "needle", F.explode(_placed_grams(F.col("needle"), [F.col("size")])).alias("g")).select("mention", "needle", "g.at", "g.gram")
     ranked = (
-        long_ones.select("mention", "needle", F.explode(_placed_grams(F.col("needle"), GRAM)).alias("g"))
-        .select("mention", "needle", "g.at", "g.gram").join(sizes, "gram", "left")
-        .groupBy("mention", "needle")
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "at"))), 1, 2).alias("r"))
+        large_join(asked, sizes, "gram", "left").groupBy("mention", "needle")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "at")).alias("r"))
     )
     # A needle with a gram that no text holds is found nowhere.
-    first, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
-    probes = cut(ranked.where(first["n"] > 0).select(
-        "mention", "needle", first["gram"].alias("gram"), first["at"].alias("offset"), second["gram"].alias("gram2"), second["at"].alias("offset2")))
-    grid = probes.groupBy("gram").agg(F.count("*").alias("asked")).join(sizes, "gram").select(
-        "gram", _pieces("n").alias("rows"), _pieces("asked").alias("columns"))
+    probes = cut(ranked.where(F.col("r.n") > 0).select("mention", "needle", "r.n", "r.gram", F.col("r.at").alias("offset")))
+    # Only grams with many postings or needles; those that no needle asks for are left out.
+    grid = F.broadcast(cut(
+        large_join(sizes, probes.groupBy("gram").agg(F.count("*").alias("asked")), "gram", "left")
+        .where((F.col("n") > BLOCK_ROWS) | (F.col("asked") > BLOCK_ROWS))
+        .select("gram", _pieces("n").alias("rows"), _pieces("asked").alias("columns"), F.col("asked").isNull().alias("idle"))))
 
     def dealt(df: DataFrame, own: str, other: str, key: str) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"_{other}")
-        return df.join(grid, "gram").select(*df.columns, F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(f"_{own}"), every)
-
-    blocks = ["gram", "_rows", "_columns"]
-    met = dealt(probes, "columns", "rows", "needle").join(dealt(postings, "rows", "columns", "text"), blocks).select(
-        "mention", "needle", "text", (F.col("at") - F.col("offset")).alias("before"), "gram2", "offset2")
-    again = postings.select("text", F.col("at").alias("_at"), F.col("gram").alias("gram2"))
-    near = met.where(F.col("gram2").isNotNull()).withColumn("_at", (F.col("before") + F.col("offset2")).cast("int")).join(
-        again, ["text", "gram2", "_at"], "left_semi").select("mention", "needle", "text")
-    likely = near.union(met.where(F.col("gram2").isNull()).select("mention", "needle", "text")).distinct()
-    verified = likely.join(numbered, "text").where(
-        F.contains("hay", "needle") & (F.col("also").isNull() | F.contains("also", "needle"))
+        of = {c: F.coalesce(F.col(c), F.lit(1)) for c in (own, other)}
+        every = F.explode(F.sequence(F.lit(0), of[other] - 1)).alias(f"_{other}")
+        return df.join(grid, "gram", "left").where(~F.coalesce("idle", F.lit(False))).select(
+            *df.columns, F.pmod(F.xxhash64(key), of[own]).cast("int").alias(f"_{own}"), every)
+
+    met = large_join(dealt(probes.drop("n"), "columns", "rows", "needle"), dealt(postings, "rows", "columns", "text"), ["gram", "_rows", "_columns"])
+    likely = met.select("mention", "needle", "text", (F.col("at") - F.col("offset")).alias("before")).where("before >= 0")
+    verified = large_join(likely, numbered, "text").where(
+        (F.substring("hay", F.col("before") + 1, F.length("needle")) == F.col("needle"))
+        & (F.col("also").isNull() | F.contains("also", "needle"))
     )
     found = best_place(verified.select("mention", "place"), "mention")
     if shortest >= GRAM:
@@ -138,7 +145,7 @@ def contains_lookup(mentions: DataFrame, texts: DataFrame, shortest: int = 1) ->
         lambda g: F.col("also").isNull() | F.contains(F.col("also"), g),
     )
     per_gram = best_place(numbered.select(F.explode(short_grams).alias("needle"), "place"), "needle")
-    return found.unionByName(short_ones.join(per_gram, "needle").select("mention", "place"))
+    return found.unionByName(large_join(short_ones, per_gram, "needle").select("mention", "place"))
 
 
 def alternate_texts(gazetteer: DataFrame, with_name: bool = False) -> DataFrame:

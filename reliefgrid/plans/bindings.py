@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefgrid.functions.text import title_case
+from reliefgrid.operators.joins import large_join
 
 # Parameters: phrases that occur in the prose.
 DOC_TAXONOMY = {
@@ -195,7 +196,7 @@ def gazetteer(spark: SparkSession, sf: str) -> DataFrame:
     segment = F.lower("c_mktsegment")
     towns = (
         table(spark, sf, "customer")
-        .join(where, F.col("c_nationkey") == key)
+        .join(F.broadcast(where), F.col("c_nationkey") == key)
         .select(
             cust.alias("geonameid"),
             F.col("c_name").alias("name"),
@@ -240,7 +241,7 @@ def mention_rows(spark: SparkSession, sf: str) -> DataFrame:
         )
         .otherwise(low)
     )
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+    return large_join(o, c, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("post_id"), F.col("o_custkey").alias("author_id"), mention.alias("mention")
     )
 

@@ -167,3 +167,24 @@ def test_decode_and_topk(spark, gaz):
     got = {r["geonameid"]: r["state"] for r in done.collect()}
     assert got[1] == "New York" and got[7] == "ZZ"
     assert [r["geonameid"] for r in places.places_named(gaz, "buffalo").collect()] == [1, 2]
+
+
+def test_large_tables_of_the_lookup_are_not_broadcast(spark, gaz):
+    """Exploded grams look small to Spark; only the grid of hot grams may go through the driver."""
+    mentions = spark.createDataFrame([("space city",), ("h-town",)], "mention string")
+    for found in (places.lookup_fuzzy(mentions, gaz), places.lookup_two_stage(mentions, gaz)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        joins = [x for x in plan.splitlines() if "BroadcastHashJoin" in x]
+        assert joins and all("[gram#" in x and "LeftOuter" in x for x in joins if "mention#" not in x), joins
+
+
+def test_needles_of_all_gram_sizes(spark, monkeypatch):
+    monkeypatch.setattr(places, "BLOCK_ROWS", 5)
+    text = "abcabcabdé0123456789abcabcabcabcabcabcxyz, the end of a long text"
+    rows = [(i, text[i:] + text[:i]) for i in range(12)]
+    gaz = spark.createDataFrame([(i, "x", [t], "US", "NY", 0.0, 0.0, "PPL", i) for i, t in rows], GAZ)
+    needles = {text[i:i + n] for i in (0, 5, 17, 22) for n in range(1, 42)} | {"abcabcabcabd", "q" * 40}
+    mentions = spark.createDataFrame([(n, n) for n in needles], "mention string, needle string")
+    found = {r["mention"]: r["place"]["geonameid"] for r in places.contains_lookup(mentions, places.alternate_texts(gaz)).collect()}
+    assert found == {n: max(own) for n in needles if (own := [i for i, t in rows if n in t])}
