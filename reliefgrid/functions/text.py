@@ -15,11 +15,13 @@ WORD = r"\p{L}\p{N}_"
 
 def clean_text(text: Column | str) -> Column:
     """Hashtags become split words plus a comma; mentions, URLs and other signs become spaces."""
-    marked = F.regexp_replace(
-        as_col(text),
-        rf"(?U)(#[A-Za-z0-9_]+)|@[A-Za-z0-9_]+|(?:(?<![{WORD}])|\G)[{WORD}]++://\S+|[^{WORD}\s,]",
-        "$1 ",
-    )
+    given = as_col(text)
+    tags, signs = "(#[A-Za-z0-9_]+)|@[A-Za-z0-9_]+", rf"[^A-Za-z0-9,\s{WORD}]"
+    links = rf"(?:(?<![{WORD}])|\G)[{WORD}]++://\S+"
+    # Only texts with a link pay for looking at whole words.
+    marked = F.when(F.contains(given, F.lit("://")), F.regexp_replace(given, f"(?U){tags}|{links}|{signs}", "$1 ")).otherwise(
+        F.regexp_replace(given, f"(?U){tags}|{signs}", "$1 "))
+
     def open_tag(part: Column) -> Column:
         return bind(
             F.regexp_extract(part, "^[A-Za-z0-9_]+", 0),
@@ -37,7 +39,8 @@ def clean_text(text: Column | str) -> Column:
         )
         return F.when(F.contains(body, F.lit("#")), opened).otherwise(body)
 
-    return F.trim(F.regexp_replace(bind(marked, open_tags), r"(?U)\s+", " "))
+    # A single space is no match, as it would be replaced by itself.
+    return F.trim(F.regexp_replace(bind(marked, open_tags), r"(?U) \s+|[\s&&[^ ]]\s*", " "))
 
 
 def split_camel(text: Column | str) -> Column:

@@ -51,7 +51,7 @@ def disaster_names(cleaned: Column | str, phrases: Mapping[str, str]) -> Column:
     canonical = F.from_json(F.lit(json.dumps(dict(phrases))), "map<string,string>")
 
     def gram(words: Column, start: Column, n: Column | int) -> Column:
-        return F.array_join(F.slice(words, start, n), " ")
+        return F.get(words, start - 1) if isinstance(n, int) and n == 1 else F.array_join(F.slice(words, start, n), " ")
 
     def starts(words: Column) -> Column:
         marked = F.transform(words, lambda w, i: F.when(w.isin(first_words), (i + 1).cast("int")))
@@ -116,7 +116,10 @@ def tag_disasters_joined(posts: DataFrame, taxonomy: DataFrame, key: str, cleane
         opening = F.array_compact(F.transform(words, lambda w, i: F.when(heads.holds(F.xxhash64(F.rtrim(w, F.lit("s")))), i + 1)))
 
         def of_size(at: Column, n: int) -> Column:
-            fits = F.filter(at, lambda i: (i + n - 1 <= F.size(words)) & leads.holds(F.xxhash64(_stem(F.slice(words, i, n)))))
+            def stem(i: Column) -> Column:
+                return F.rtrim(F.get(words, i - 1), F.lit("s")) if n == 1 else _stem(F.slice(words, i, n))
+
+            fits = F.filter(at, lambda i: (i + n - 1 <= F.size(words)) & leads.holds(F.xxhash64(stem(i))))
             return F.transform(fits, lambda i: F.struct(i.cast("int").alias("start"), F.slice(words, i, n).alias("run")))
 
         return bind(opening, lambda at: F.concat(*[of_size(at, n) for n in sizes]))
@@ -201,8 +204,23 @@ def tag_places(
     leave the row, and an equality join with the names keeps the true ones.
     ``distinct=False`` keeps repeated mentions.
     """
-    known = cut(names.where(F.col("words") <= max_words).select("gram").distinct())
-    rows = posts.select(key, F.explode(place_runs(tokens(cleaned), known, max_words, capitalised)).alias("r")).select(key, "r.*")
+    known = known_names(names, max_words)
+    rows = posts.select(key, F.explode(likely_places(known, max_words, cleaned, capitalised)).alias("r")).select(key, "r.*")
+    return choose_places(rows, known, key, distinct)
+
+
+def known_names(names: DataFrame, max_words: int) -> DataFrame:
+    """The names of at most so many words, written out."""
+    return cut(names.where(F.col("words") <= max_words).select("gram").distinct())
+
+
+def likely_places(known: DataFrame, max_words: int, cleaned: str = "cleaned", capitalised: bool = False) -> Column:
+    """``start, len, mention`` of the runs of a cleaned text that are likely among the known names."""
+    return place_runs(tokens(cleaned), known, max_words, capitalised)
+
+
+def choose_places(rows: DataFrame, known: DataFrame, key: str, distinct: bool = True) -> DataFrame:
+    """``(key, locations)`` of posts with a known name among their runs, ``(key, start, len, mention)``, in text order."""
     # Two-letter codes count as places only in capitals.
     upper_code = (F.length("mention") != 2) | (F.upper("mention") == F.col("mention"))
     likely = rows.where(upper_code & ~F.contains("mention", F.lit(","))).withColumn("gram", F.lower("mention"))

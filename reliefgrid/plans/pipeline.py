@@ -13,7 +13,9 @@ from reliefgrid.functions.scalars import sentiment_class
 from reliefgrid.functions.text import clean_text
 from reliefgrid.operators import counts, posts as post_ops
 from reliefgrid.operators.places import RESOLVED_FIELDS, collect_places, resolve_all
-from reliefgrid.operators.tagging import add_scores, disaster_names, place_names, tag_disasters, tag_places
+from reliefgrid.operators.tagging import (
+    add_scores, choose_places, disaster_names, known_names, likely_places, place_names, tag_disasters, tag_places,
+)
 from reliefgrid.session import cut
 
 
@@ -36,9 +38,13 @@ class Dictionaries:
 def extract_entities(posts: DataFrame, dicts: Dictionaries, key: str = "post_id") -> DataFrame:
     """``(key, disasters, locations, sentiment, polarity)`` for every post."""
     cleaned = posts.select(key, clean_text("text").alias("cleaned"))
-    # Disasters and scores are found in the row; only place hits are grouped and joined back.
+    # Disasters, scores and likely places are found in the row, so a text is cleaned once; only
+    # place hits are grouped and joined back. What was found is written out without the texts.
+    known = known_names(dicts.names, dicts.max_words)
     tagged = add_scores(tag_disasters(cleaned, dicts.phrases), dicts.lexicon)
-    places = tag_places(cleaned, dicts.names, key, dicts.max_words)
+    tagged = cut(tagged.select(key, "disasters", "polarity", likely_places(known, dicts.max_words).alias("_runs")))
+    runs = tagged.select(key, F.explode("_runs").alias("r")).select(key, "r.*")
+    places = choose_places(runs, known, key)
     none = F.array().cast("array<string>")
     return (
         tagged.select(key, "disasters", "polarity")
@@ -79,12 +85,12 @@ def filtered_posts(
 ) -> DataFrame:
     """One row per crisis post and resolved place.
 
-    Steps inside the row come first: empty texts go and disasters are tagged. Only the posts that
-    name a disaster (few in a feed) are shuffled, to drop copies; a tag depends on the text alone,
-    so copies share it. What is left is written out once, as several branches read it.
+    Empty texts go, then copies, of which only those shuffle that occur more than once; a tag
+    depends on the text alone, so copies share it and each text is cleaned and tagged once. The
+    posts that name a disaster are written out, as several branches read them.
     """
-    tagged = naming_disaster(post_ops.filter_nonempty(posts), dicts.phrases)
-    named = cut(post_ops.dedup_text(tagged, order or [key]))
+    unique = post_ops.dedup_text(post_ops.filter_nonempty(posts), order or [key])
+    named = cut(naming_disaster(unique, dicts.phrases))
 
     places = cut(tag_places(named, dicts.names, key, dicts.max_words))
     located = resolve_all(places, dicts.gazetteer, dicts.states, key, dicts.mode)

@@ -122,3 +122,17 @@ def test_span_choice_against_model(spark, longest):
 def test_normalise_list(spark):
     got = column(spark, [[" A ", "", "b"], None], "array<string>", scalars.normalise_list(F.col("v")))
     assert [g[0] for g in got] == [["a", "b"], []]
+
+
+def test_clean_text_with_and_without_links(spark):
+    """Signs, runs of white space of every kind, and links next to texts that have none."""
+    from pyspark.sql import functions as F
+
+    from reliefgrid.functions.text import WORD, clean_text
+
+    texts = ["a\t\tb", " a  b ", "a  b c", "x y", "a.b, c!d", "é://u v", "see http://x.y/z,now", "@me hi_there", "a\n b\r\nc", "...", "", " ", "(a) [b]  {c}\t"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    marked = F.regexp_replace("text", rf"(?U)(#[A-Za-z0-9_]+)|@[A-Za-z0-9_]+|(?:(?<![{WORD}])|\G)[{WORD}]++://\S+|[^{WORD}\s,]", "$1 ")
+    plain = F.trim(F.regexp_replace(marked, r"(?U)\s+", " "))
+    for row in rows.select("text", clean_text("text").alias("got"), plain.alias("wanted")).collect():
+        assert row["got"] == row["wanted"], row

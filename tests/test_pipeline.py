@@ -181,3 +181,11 @@ def test_lemmas_and_lexicon(spark):
     scored = tagging.lexicon_scores(posts.withColumn("cleaned", clean_text("text")), lexicon, "id")
     rows = {r["id"]: r["polarity"] for r in scored.collect()}
     assert rows[1] == pytest.approx(2 / 3, abs=1e-6) and rows[2] == 0.0
+
+
+def test_texts_are_cleaned_once(spark):
+    """What a text holds is written out; nothing behind that cleans the texts again."""
+    from reliefgrid.plans import bindings, catalogue, pipeline
+
+    done = pipeline.extract_entities(bindings.posts(spark, "/root/testdata/sf0.001"), catalogue.doc_dicts(spark, "/root/testdata/sf0.001"))
+    assert "://" not in done._jdf.queryExecution().optimizedPlan().toString()
