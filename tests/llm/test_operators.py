@@ -285,6 +285,38 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_learns_from_all_labelled_texts(spark, monkeypatch):
+    """A word that stands only in the last toxic texts by the hash of their ids, and a result that partitions do not change."""
+    monkeypatch.setattr(toxicity, "SHARD", 1000, raising=False)
+    make = random.Random(9)
+    order = [r[0] for r in spark.range(1, 3200, 2).orderBy(F.xxhash64("id")).collect()]
+    word = {i: "nasty" for i in order[:1500]} | {i: "vile" for i in order[1500:]} | {i: "vile" for i in range(3200, 3300, 4)}
+    texts = [" ".join([make.choice(WORDS) for _ in range(8)] + ([word[i]] if i in word else []) + [make.choice(WORDS)]) for i in range(3300)]
+    docs = _frame(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3200)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    found = {r[0]: r[1] for r in toxicity.score(docs, model).collect()}
+    assert sum((found[i] >= toxicity.CUT) == (i in word) for i in range(3200, 3300)) >= 97
+    again = toxicity.train(docs.repartition(7), labels.repartition(5))
+    assert found == {r[0]: r[1] for r in toxicity.score(docs, again).collect()}
+
+
+def test_toxicity_packs_whole_shards():
+    """Slices, repeated ids and texts without words: every place of every first text comes back."""
+    rows = [(0, 1, "aa bb aa", 1), (0, 2, "", 0), (0, 3, None, 0), (0, 4, "bb cc", 0), (0, 4, "dd", 0), (1, 5, "cc aa " * 5, 1)]
+    names = ["shard", "_id", "text", "_label", "judged", "lang"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, (*r, False, "en"))) for r in part], schema=pa.schema([
+        ("shard", pa.int32()), ("_id", pa.int64()), ("text", pa.string()), ("_label", pa.int32()), ("judged", pa.bool_()), ("lang", pa.string())]))
+        for part in (rows[:2], rows[2:])]
+    shards = list(toxicity._shards(toxicity._packed(batches)))
+    assert [x.number for x in shards] == [0, 1] and [x.labels.tolist() for x in shards] == [[1, 0], [1]]
+    for own, texts in zip(shards, (["aa bb aa", "bb cc"], ["cc aa " * 5])):
+        keys, first = toxicity.word_keys(pa.array(texts))
+        assert (own.words[own.places] == keys).all() and (own.first == first).all()
+    values = np.array([0, 1, -1, 2**30, -2**30, 12345], np.int32)
+    assert (toxicity._thick(toxicity._thin(values)) == values).all()
+
+
 def test_quality(spark):
     make = random.Random(6)
     texts = [" ".join(make.choice(WORDS) + ("%%%" if i % 3 == 0 else "") for _ in range(30)) for i in range(300)] + [None, ""]
