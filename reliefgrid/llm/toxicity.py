@@ -231,7 +231,7 @@ class _Packing:
     """The shard that is being read; words get their numbers as they come."""
 
     def __init__(self, number: int) -> None:
-        self.number, self.last = number, None
+        self.number, self.wanted, self.label = number, None, 0
         self.words = np.zeros((0, 1 + len(PREFIXES)), np.uint32)
         self.places: list[np.ndarray] = []
         self.about: list[tuple] = []
@@ -259,7 +259,7 @@ class _Packing:
 
 
 def _packed(batches) -> Iterator[pa.RecordBatch]:
-    """Shards of rows sorted by shard and id; of rows with one id the first, of texts those with words."""
+    """Shards of rows sorted by shard and id, an id's label first: of its texts the next one, if it has words."""
     shard = _Packing(-1)
     for batch in batches:
         shards, ids, labels, judged, langs = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("shard", "_id", "_label", "judged", "lang"))
@@ -273,13 +273,16 @@ def _packed(batches) -> Iterator[pa.RecordBatch]:
                     if shard.about:
                         yield shard.batch()
                     shard, fresh = _Packing(shards[i]), []
-                if ids[i] == shard.last:
+                if labels[i] is not None:
+                    shard.wanted, shard.label = ids[i], labels[i]
                     continue
-                shard.last = ids[i]
+                if ids[i] is None or ids[i] != shard.wanted:
+                    continue
+                shard.wanted = None
                 own = keys[first[i - begin]:first[i - begin + 1]]
                 if len(own):
                     fresh.append(own)
-                    shard.about.append((labels[i], judged[i], langs[i]))
+                    shard.about.append((shard.label, judged[i], langs[i]))
             shard.add(fresh)
     if shard.about:
         yield shard.batch()
@@ -415,9 +418,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shards = max(1, -(-own.count() // SHARD))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     hashed = F.xxhash64(F.col("_id").cast("string"))
-    rows = likely(rows, hashed, bit_filter(own.select(hashed.alias("hash")), "hash")).join(own, "_id")
+    rows = likely(rows, hashed, bit_filter(own.select(hashed.alias("hash")), "hash")).withColumn("_label", F.lit(None).cast("int"))
+    # Labels travel with the texts, so texts pass one shuffle only: the label of an id comes before its texts.
+    rows = own.select("_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("lang"), "_label").union(rows)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int")).withColumn("judged", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(5)) == 0)
-    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", F.xxhash64("_id"), "_id", F.xxhash64("text", "lang"))
+    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", F.xxhash64("_id"), "_id", F.col("_label").asc_nulls_last(), F.xxhash64("text", "lang"))
     packed = cut(dealt.mapInArrow(
         _packed, "shard int, words binary, numbers binary, sizes binary, labels array<int>, judged array<boolean>, langs array<string>"))
 

@@ -303,11 +303,12 @@ def test_toxicity_learns_from_all_labelled_texts(spark, monkeypatch):
 
 def test_toxicity_packs_whole_shards():
     """Slices, repeated ids and texts without words: every place of every first text comes back."""
-    rows = [(0, 1, "aa bb aa", 1), (0, 2, "", 0), (0, 3, None, 0), (0, 4, "bb cc", 0), (0, 4, "dd", 0), (1, 5, "cc aa " * 5, 1)]
+    rows = [(0, 1, None, 1), (0, 1, "aa bb aa", None), (0, 2, None, 0), (0, 2, "", None), (0, 3, None, 0), (0, 3, None, None), (0, 6, "no label", None),
+            (0, 4, None, 0), (0, 4, "bb cc", None), (0, 4, "dd", None), (1, 5, None, 1), (1, 5, "cc aa " * 5, None)]
     names = ["shard", "_id", "text", "_label", "judged", "lang"]
     batches = [pa.RecordBatch.from_pylist([dict(zip(names, (*r, False, "en"))) for r in part], schema=pa.schema([
         ("shard", pa.int32()), ("_id", pa.int64()), ("text", pa.string()), ("_label", pa.int32()), ("judged", pa.bool_()), ("lang", pa.string())]))
-        for part in (rows[:2], rows[2:])]
+        for part in (rows[:3], rows[3:])]
     shards = list(toxicity._shards(toxicity._packed(batches)))
     assert [x.number for x in shards] == [0, 1] and [x.labels.tolist() for x in shards] == [[1, 0], [1]]
     for own, texts in zip(shards, (["aa bb aa", "bb cc"], ["cc aa " * 5])):
