@@ -42,8 +42,12 @@ from reliefgrid.session import cut
 #: in ``SPREAD`` and 256 do.
 SHARE = 4000
 SPREAD = 1000
-#: Leading shingles in a bucket, about.
+#: Leading shingles in a bucket, about. A task holds one bucket.
 BUCKET = 1_000_000
+#: Leading shingles that a task gathers before it sends them on.
+FLUSH = 500_000
+#: Bytes of texts, and of sets of classes, that a task holds as arrays at a time.
+HELD_BYTES = 1 << 19
 #: ``k`` is this part of the percentage: more leading shingles, fewer sets with enough of them in common.
 AGREED = 600
 #: Classes of a block up to which their bitmaps meet in one task.
@@ -63,14 +67,22 @@ FILTER_BITS = 1 << 26
 
 def _sets(batch: pa.RecordBatch, column: str, size: int) -> Iterator[tuple[int, np.ndarray]]:
     texts = batch.column(batch.schema.get_field_index(column))
-    for begin, end in slices(texts):
+    for begin, end in slices(texts, HELD_BYTES):
         yield from enumerate(shingle_sets(texts.slice(begin, end - begin), size), begin)
 
 
-def _frequent(hashes: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    values, place = np.unique(hashes, return_inverse=True)
-    total = np.bincount(place, counts, len(values)).astype(np.int64)
-    return values[total >= least], total[total >= least]
+def _repeated(hashes: np.ndarray, counts: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes with their counts after ``fresh`` ones came; new are those there at least twice. Sorts ``fresh``."""
+    fresh.sort()
+
+    def there(values: np.ndarray) -> np.ndarray:
+        return np.searchsorted(fresh, values, "right") - np.searchsorted(fresh, values, "left")
+
+    same = fresh[1:] == fresh[:-1]
+    new = np.setdiff1d(fresh[1:][same], hashes)
+    both, total = np.concatenate([hashes, new]), np.concatenate([counts + there(hashes), there(new)])
+    order = np.argsort(both)
+    return both[order], total[order]
 
 
 def _profile(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -90,14 +102,15 @@ def _profile(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
                 waiting.append(members)
                 held += len(members)
             if held > 2_000_000:
-                flat = np.concatenate([hashes, *waiting])
-                hashes, counts = _frequent(flat, np.concatenate([counts, np.ones(held, np.int64)]), 2)
-                waiting, held = [], 0
+                fresh, waiting, held = np.concatenate(waiting), [], 0
+                hashes, counts = _repeated(hashes, counts, fresh)
+                del fresh
             if len(seen) > 200_000:
                 seen = set()
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
-    flat = np.concatenate([hashes, *waiting])
-    hashes, counts = _frequent(flat, np.concatenate([counts, np.ones(held, np.int64)]), max(2, documents // (4 * SHARE)))
+    hashes, counts = _repeated(hashes, counts, np.concatenate([hashes[:0], *waiting]))
+    often = counts >= max(2, documents // (4 * SHARE))
+    hashes, counts = hashes[often], counts[often]
     n = len(hashes)
     if n:
         yield pa.RecordBatch.from_arrays([
@@ -169,18 +182,24 @@ def _postings(batches, size: int, percent: int, buckets: int, frequent) -> Itera
                 seen = set()
             seen.add(own)
             lead, hot = _leading(members, *frequent.value, percent)
-            tokens.append(lead)
+            # Not a view, which would keep the whole set.
+            tokens.append(lead.copy())
             prints.append(np.full(len(lead), own, np.int64))
             sizes.append(np.full(len(lead), len(members), np.int32))
             often.append(hot)
             held += len(lead)
-            if held > 2_000_000:
+            if held > FLUSH:
                 yield flush()
                 tokens, prints, sizes, often, held = [], [], [], [], 0
     if held:
         yield flush()
 
 
+def _dealt(postings: DataFrame, buckets: int) -> DataFrame:
+    """One bucket a task. Hashes of their numbers would put several into one task and none into others."""
+    return postings.repartitionById(buckets, F.col("bucket").cast("int"))
+
+
 def _blocks(batches, percent: int) -> Iterator[pa.RecordBatch]:
     """Blocks of a bucket: shingles that several classes of like size hold, one for each distinct list of classes.
 
@@ -188,7 +207,7 @@ def _blocks(batches, percent: int) -> Iterator[pa.RecordBatch]:
     """
     parts = []
     for batch in batches:
-        for tokens, hot, prints, sizes, runs in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
+        for tokens, hot, prints, sizes, runs in zip(*([x.as_buffer() for x in batch.column(i)] for i in range(1, 6))):
             token, run = np.frombuffer(tokens, np.uint64), np.frombuffer(runs, np.int32)
             parts.append((token, np.repeat(np.frombuffer(prints, np.int64), run), np.repeat(np.frombuffer(sizes, np.int32), run),
                           np.unpackbits(np.frombuffer(hot, np.uint8), count=len(token)).astype(bool)))
@@ -222,12 +241,24 @@ def _blocks(batches, percent: int) -> Iterator[pa.RecordBatch]:
 def _set_rows(batches, size: int) -> Iterator[pa.RecordBatch]:
     """The sets of classes; their clusters come along."""
     kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+
+    def packed():
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["class", "cluster", "small", "members"])
+
+    rows, held = [], 0
     for batch in batches:
         owner, wanted, cluster, small = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
-        rows = [(owner[row], cluster[row], small[row], members.tobytes()) for row, members in _sets(batch, "text", size)
-                if fingerprint(members)[0] == wanted[row]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["class", "cluster", "small", "members"])
+        for row, members in _sets(batch, "text", size):
+            if fingerprint(members)[0] != wanted[row]:
+                continue
+            rows.append((owner[row], cluster[row], small[row], members.tobytes()))
+            held += members.nbytes
+            if held > HELD_BYTES:
+                yield packed()
+                rows, held = [], 0
+    if rows:
+        yield packed()
 
 
 def _hopeful_rows(batches, percent: int) -> Iterator[pa.RecordBatch]:
@@ -394,7 +425,7 @@ def ngram_jaccard_join(
         "bucket long, tokens binary, often binary, prints binary, sizes binary, runs binary",
     )
     blocks = cut(
-        postings.repartition(buckets, "bucket").mapInArrow(partial(_blocks, percent=percent), "block long, fp long, weight long")
+        _dealt(postings, buckets).mapInArrow(partial(_blocks, percent=percent), "block long, fp long, weight long")
         .groupBy("block", "fp").agg(F.sum("weight").alias("weight"))
     )
     # The blocks are written, so nothing reads the list again.

@@ -203,13 +203,27 @@ _SHARD = pa.schema([
 ])
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """32-bit numbers, compressed: Spark copies a row's bytes several times, so a shard's should be few.
+
+    They go byte by byte, so that the high bytes of small numbers stand together.
+    """
+    data = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 4).T)
+    return data.nbytes.to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _loose(data: bytes, kind: type) -> np.ndarray:
+    data = pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), "zstd")
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(kind).ravel()
+
+
 class _Shard:
     """Training texts: keys of their distinct words, the word at each place, and where texts begin."""
 
     def __init__(self, row: dict) -> None:
         self.number = row["shard"]
-        self.words = np.frombuffer(row["words"], np.uint32).reshape(-1, 1 + len(PREFIXES))
-        self.places = np.frombuffer(row["numbers"], np.int32)
+        self.words = _loose(row["words"], np.uint32).reshape(-1, 1 + len(PREFIXES))
+        self.places = _loose(row["numbers"], np.int32)
         self.first = np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], np.int64))])
         self.labels = np.array(row["labels"], np.float32)
         self.judged = np.array(row["judged"], bool)
@@ -253,7 +267,7 @@ class _Packing:
 
     def batch(self) -> pa.RecordBatch:
         labels, judged, langs = zip(*self.about)
-        row = {"shard": self.number, "words": self.words.tobytes(), "numbers": b"".join(x.tobytes() for x in self.places),
+        row = {"shard": self.number, "words": _squeezed(self.words), "numbers": _squeezed(np.concatenate(self.places)),
                "sizes": np.array([len(x) for x in self.places], np.int64).tobytes(), "labels": labels, "judged": judged, "langs": langs}
         return pa.RecordBatch.from_pylist([row], schema=_SHARD)
 

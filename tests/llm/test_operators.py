@@ -92,6 +92,50 @@ def test_ngram_join_null_ids_and_empty_table(spark):
     assert ngram_jaccard_join(rows.limit(0)).count() == 0
 
 
+def test_ngram_join_deals_one_bucket_to_a_task(spark):
+    from reliefgrid.llm.ngram_join import _dealt
+
+    rows = _dealt(spark.range(300).selectExpr("id % 60 as bucket"), 60)
+    found = rows.select("bucket", F.spark_partition_id().alias("task")).distinct().groupBy("task").count().collect()
+    assert sorted(r[1] for r in found) == [1] * 60
+
+
+def test_ngram_join_repeated_hashes():
+    """Counts of hashes over chunks: those twice in a chunk, or in it and known, as plain counting has them."""
+    from reliefgrid.llm.ngram_join import _repeated
+
+    make = np.random.default_rng(5)
+    known: dict[int, int] = {}
+    hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for most in (1, 50, 400, 50):
+        fresh = make.integers(0, most, 120, dtype=np.uint64) * np.uint64(2**63 // 200)
+        own = {x: (fresh == x).sum() for x in np.unique(fresh)}
+        known = {x: known.get(x, 0) + own.get(x, 0) for x in {*known, *(x for x, n in own.items() if n > 1)}}
+        hashes, counts = _repeated(hashes, counts, fresh)
+        assert dict(zip(hashes, counts)) == known and (np.diff(hashes.astype(object)) > 0).all()
+    assert [len(x) for x in _repeated(hashes[:0], counts[:0], hashes[:0])] == [0, 0]
+
+
+def test_ngram_join_tasks_hold_little():
+    """A pass over texts holds some chunks of hashes, not several copies of them."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    from reliefgrid.llm import ngram_join as module
+
+    make = np.random.default_rng(6)
+    texts = [" ".join(map(str, make.integers(0, 2**40, 600))) for _ in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000), pa.int64()), pa.array(texts)], ["id", "text"])
+    nothing = SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0, np.int64), 256))
+    for passes, most in ((lambda: module._profile(iter([batch]), 5), 80), (lambda: module._postings(iter([batch]), 5, 80, 60, nothing), 60)):
+        tracemalloc.start()
+        for _ in passes():
+            pass
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert peak < most
+
+
 def test_signature_tree_loses_no_link():
     make = np.random.default_rng(2)
     sets = []
@@ -318,6 +362,19 @@ def test_toxicity_packs_whole_shards():
     assert (toxicity._thick(toxicity._thin(values)) == values).all()
 
 
+def test_toxicity_shards_are_compressed():
+    """Numbers of words come back from the few bytes that Spark carries, none at all too."""
+    for values in (np.random.default_rng(4).zipf(1.3, 100_000).clip(0, 2**31 - 1).astype(np.int32), np.array([0, 2**31 - 1, -1, -2**31], np.int32), np.zeros(0, np.int32)):
+        assert (toxicity._loose(toxicity._squeezed(values), np.int32) == values).all()
+    keys, _ = toxicity.word_keys(pa.array(["aa bb aa ccccc", ""]))
+    assert (toxicity._loose(toxicity._squeezed(keys), np.uint32).reshape(keys.shape) == keys).all()
+    text = " ".join(f"w{i}" for i in np.random.default_rng(4).zipf(1.3, 50_000).clip(0, 5000))
+    batch = pa.RecordBatch.from_pylist([{"shard": 0, "_id": 1, "text": x, "_label": n, "judged": False, "lang": "en"} for x, n in ((None, 1), (text, None))], schema=pa.schema([
+        ("shard", pa.int32()), ("_id", pa.int64()), ("text", pa.string()), ("_label", pa.int32()), ("judged", pa.bool_()), ("lang", pa.string())]))
+    (row,) = next(toxicity._packed([batch])).to_pylist()
+    assert len(row["numbers"]) < 50_000 * 2
+
+
 def test_quality(spark):
     make = random.Random(6)
     texts = [" ".join(make.choice(WORDS) + ("%%%" if i % 3 == 0 else "") for _ in range(30)) for i in range(300)] + [None, ""]
