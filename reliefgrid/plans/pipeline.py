@@ -14,7 +14,7 @@ from reliefgrid.functions.text import clean_text
 from reliefgrid.operators import counts, posts as post_ops
 from reliefgrid.operators.places import RESOLVED_FIELDS, collect_places, resolve_all
 from reliefgrid.operators.tagging import (
-    add_scores, choose_places, disaster_names, known_names, likely_places, place_names, tag_disasters, tag_places,
+    add_scores, choose_places, disaster_names, known_names, likely_places, place_names, tag_disasters,
 )
 from reliefgrid.session import cut
 
@@ -80,39 +80,59 @@ def naming_disaster(posts: DataFrame, phrases: Mapping[str, str]) -> DataFrame:
     )
 
 
-def filtered_posts(
+def crisis_posts(
     posts: DataFrame, dicts: Dictionaries, key: str = "post_id", order: list[str] | None = None
 ) -> DataFrame:
-    """One row per crisis post and resolved place.
+    """One row per crisis post, with its resolved places in ``all_locations``; null if none has a state.
 
     Empty texts go, then copies, of which only those shuffle that occur more than once; a tag
     depends on the text alone, so copies share it and each text is cleaned and tagged once. The
-    posts that name a disaster are written out, as several branches read them.
+    posts that name a disaster are written out with their likely places, without the cleaned
+    text, which no later step reads. Texts meet the places of their post in one join.
     """
     unique = post_ops.dedup_text(post_ops.filter_nonempty(posts), order or [key])
-    named = cut(naming_disaster(unique, dicts.phrases))
+    known = known_names(dicts.names, dicts.max_words)
+    scored = add_scores(naming_disaster(unique, dicts.phrases), dicts.lexicon)
+    named = cut(scored.select(
+        *_post_columns(key), "disasters", sentiment_class("polarity").alias("sentiment"), "polarity",
+        likely_places(known, dicts.max_words).alias("_runs")))
 
-    places = cut(tag_places(named, dicts.names, key, dicts.max_words))
+    runs = named.select(key, F.explode("_runs").alias("r")).select(key, "r.*")
+    places = cut(choose_places(runs, known, key))
     located = resolve_all(places, dicts.gazetteer, dicts.states, key, dicts.mode)
     grouped = collect_places(located.where(F.col("resolved.state") != ""), key)
-    crisis = add_scores(named.join(places, key), dicts.lexicon).join(grouped, key, "left")
-    return fan_out(crisis.withColumn("sentiment", sentiment_class("polarity")), key)
+    # Written out, as whoever stores the posts counts their places too.
+    found = cut(places.select(key).join(grouped, key, "left"))
+    return named.drop("_runs").join(found, key)
+
+
+def _post_columns(key: str) -> list[str]:
+    return list(dict.fromkeys(["author", "created_at", key, "text", "uri"]))
+
+
+def filtered_posts(
+    posts: DataFrame, dicts: Dictionaries, key: str = "post_id", order: list[str] | None = None
+) -> DataFrame:
+    """One row per crisis post and resolved place."""
+    return fan_out(crisis_posts(posts, dicts, key, order), key)
 
 
-def fan_out(crisis: DataFrame, key: str = "post_id") -> DataFrame:
+def fan_out(crisis: DataFrame, key: str = "post_id", also: tuple[str, ...] = ()) -> DataFrame:
     """One row per place of ``all_locations``; a post without any keeps one row of nulls.
 
-    The first row names its city as location, the others the text of the mention.
+    The first row names its city as location, the others the text of the mention. ``also`` names
+    further columns to keep.
     """
     rows = crisis.select("*", F.posexplode_outer("all_locations").alias("place_no", "place"))
     location = F.when(F.coalesce("place_no", F.lit(0)) == 0, F.col("place.city")).otherwise(F.col("place.location"))
     return rows.select(
-        *dict.fromkeys(["author", "created_at", key, "text", "uri"]),
+        *_post_columns(key),
         "disasters",
         "sentiment",
         "polarity",
         *[F.col(f"place.{c}").alias(c) for c in RESOLVED_FIELDS],
         location.alias("location"),
+        *also,
     )
 
 

@@ -17,14 +17,21 @@ class Store:
     A batch is finished when the log holds it, and the log is written last; so a reader sees all
     tables of a batch or none, and what a broken attempt left behind is never read. A batch that
     comes again is left alone. Readers match rows with the log by a join: nothing lists folders or
-    names batches. One writer at a time; batches of one store come in order.
+    names batches. One writer at a time; batches of one store come in order. ``shown`` turns the
+    stored rows of a table, ``_batch`` among them, into those that readers get.
     """
 
-    def __init__(self, spark: SparkSession, root: str, tables: Mapping[str, str]) -> None:
-        self.spark, self.root, self.tables = spark, root, dict(tables)
+    def __init__(
+        self, spark: SparkSession, root: str, tables: Mapping[str, str],
+        shown: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
+    ) -> None:
+        self.spark, self.root, self.tables, self.shown = spark, root, dict(tables), dict(shown or {})
         for name, schema in (*self.tables.items(), ("_log", _LOG)):
             # Only the first opening writes; an empty table has a schema and no rows.
-            self.spark.createDataFrame([], self._schema(name, schema)).write.mode("ignore").parquet(f"{root}/{name}")
+            empty = self.spark.createDataFrame([], self._schema(name, schema))
+            empty.write.mode("ignore").parquet(f"{root}/{name}")
+            if set(self.spark.read.parquet(f"{root}/{name}").columns) != set(empty.columns):
+                raise ValueError(f"{root}/{name} was written with other columns")
 
     @staticmethod
     def _schema(name: str, schema: str) -> str:
@@ -56,6 +63,9 @@ class Store:
 
     def read(self, name: str) -> DataFrame:
         """Rows of the latest total of a table, and of all finished batches behind it, with ``_batch``."""
+        return self.shown.get(name, lambda rows: rows)(self._stored(name))
+
+    def _stored(self, name: str) -> DataFrame:
         rows = self.spark.read.schema(self._schema(name, self.tables[name])).parquet(f"{self.root}/{name}")
         log = self.log()
         total = log.where((F.col("kind") == "total") & (F.col("name") == name)).agg(
@@ -70,6 +80,6 @@ class Store:
         if last is None:
             return None
         attempt = uuid.uuid4().hex
-        self._append(name, merge(self.read(name).drop("_batch")), last, attempt)
+        self._append(name, merge(self._stored(name).drop("_batch")), last, attempt)
         self._finish(last, "total", name, attempt)
         return last

@@ -254,6 +254,39 @@ def test_live_loop_knows_posts_by_their_links(spark, tmp_path):
     assert shown(crisis.live_counts(store)) == shown(pipeline.crisis_summary(whole))
 
 
+def test_live_store_holds_a_text_once_and_drops_scratch(spark, tmp_path):
+    from pathlib import Path
+
+    from reliefgrid.operators import tagging
+    from reliefgrid.plans import pipeline
+    from reliefgrid.session import shared_dir
+    from reliefgrid.sources.states import us_states
+    from reliefgrid.streaming.store import Store
+    from test_places import GAZ
+    from test_pipeline import PLACES
+
+    texts = ["Flood in Houston, Texas, then Phoenix and Los Angeles.", "A huge Flood in Mexico City.", "Flood nowhere", "Nice day in Houston"]
+    posts = spark.createDataFrame([("me", "2025", t, f"at://x/{i}") for i, t in enumerate(texts)], "author string, created_at string, text string, uri string")
+    dicts = pipeline.Dictionaries(
+        phrases=tagging.phrase_table(DISASTER_SYNONYMS), gazetteer=spark.createDataFrame(PLACES, GAZ), states=us_states(spark),
+        lexicon=spark.createDataFrame([("huge", 0.4, 0.9)], "word string, polarity double, subjectivity double"))
+    whole = sorted(map(str, pipeline.filtered_posts(posts, dicts, "uri").collect()))
+    root = str(tmp_path / "live")
+    store = crisis.live_store(spark, root)
+    scratch_tables = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("table-*"))
+    before = scratch_tables()
+    crisis.live_batch(dicts, store)(posts, 0)
+    assert scratch_tables() == before
+    # A post of several places is one stored row, and as many rows for a reader.
+    stored = spark.read.parquet(f"{root}/posts")
+    assert sorted(r.uri for r in stored.collect()) == ["at://x/0", "at://x/1"]
+    assert sorted(map(str, store.read("posts").drop("_batch").collect())) == whole and len(whole) > 2
+    assert {r._batch for r in store.read("posts").collect()} == {0}
+    # Rows of another layout are refused, not read as nulls.
+    with pytest.raises(ValueError, match="other columns"):
+        Store(spark, root, {"posts": "uri string, city string"})
+
+
 def test_keyed_state_over_a_restart_and_its_expiry(spark, tmp_path):
     from datetime import datetime
 
